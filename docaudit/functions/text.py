@@ -105,3 +105,9 @@ def similarity(a: Column, b: Column, a_chars: Column | None = None, b_chars: Col
         .when((F.size(a_chars) == 0) | (F.size(b_chars) == 0), F.lit(0.0))
         .otherwise(overlap)
     )
+
+
+def lookup(mapping: dict, key: Column) -> Column:
+    """Value of a small fixed table; null for unknown keys. An expression, so no join."""
+    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
+    return F.try_element_at(F.create_map(*pairs), key)
