@@ -51,20 +51,34 @@ def label_route(label: Column, kind: Column, labels: dict | None = None, **type_
     )
 
 
-def specialist(label: Column, kind: Column, single_scorer: bool = False, disabled: tuple[str, ...] = (),
-               **options) -> Column:
-    """First of label route and type route that can take the snippet; null if neither can."""
+def with_specialist(snippets: DataFrame, label: str = "suggested_route", target: str = "routed_to",
+                    single_scorer: bool = False, disabled: tuple[str, ...] = (), **options) -> DataFrame:
+    """Add the first of label route and type route that can take the snippet; null if neither can.
+
+    Both routes are projected first, so the checks below read two columns instead of
+    repeating the lookups.
+    """
     if single_scorer:
-        return F.lit("llm_only")
+        return snippets.withColumn(target, F.lit("llm_only"))
+    routed = snippets.withColumns(
+        {
+            "_by_label": label_route(F.col(label), F.col("snippet_type"), **options),
+            "_by_type": type_route(F.col("snippet_type")),
+            "_usable": F.filter(
+                F.array(*[
+                    F.when(can_verify(v, v not in disabled), F.lit(v)) for v in VERIFIERS if v != "triage"
+                ]),
+                lambda v: v.isNotNull(),
+            ),
+        }
+    )
 
-    def usable(name: Column) -> Column:
-        case = F.lit(None).cast("string")
-        for verifier in VERIFIERS:
-            if verifier != "triage":
-                case = F.when((name == verifier) & can_verify(verifier, verifier not in disabled), name).otherwise(case)
-        return case
+    def usable(name: str) -> Column:
+        return F.when(F.array_contains("_usable", F.col(name)), F.col(name))
 
-    return F.coalesce(usable(label_route(label, kind, **options)), usable(type_route(kind)))
+    return routed.withColumn(target, F.coalesce(usable("_by_label"), usable("_by_type"))).drop(
+        "_by_label", "_by_type", "_usable"
+    )
 
 
 def prompt_family(mode: str) -> Column:

@@ -42,7 +42,8 @@ def default_label(kind: Column) -> Column:
 
 def clamp(value: Column) -> Column:
     """A number in [0, 1]; 0 where the text is not a number."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.try_cast("double"))), F.lit(0.0))
+    number = value.try_cast("double")
+    return F.when(number.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
 
 
 def scorer_outcome(df: DataFrame, raw: str, label: str, failed: str, threshold: float = UNCERTAINTY_THRESHOLD) -> DataFrame:
