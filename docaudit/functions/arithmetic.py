@@ -14,11 +14,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docaudit.constants import DOMAIN_IMPLIES, NONZERO_EPS, SAMPLE_COUNT, SAMPLE_POINTS
 
-RESULT = "struct<computed: double, error: string>"
-SAMPLES = "struct<n_evaluated: bigint, nonzero_fraction: double, max_abs: double, error: string>"
+RESULT = T.StructType([T.StructField("computed", T.DoubleType()), T.StructField("error", T.StringType())])
+SAMPLES = T.StructType(
+    [
+        T.StructField("n_evaluated", T.LongType()),
+        T.StructField("nonzero_fraction", T.DoubleType()),
+        T.StructField("max_abs", T.DoubleType()),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 _NODES = (
     ast.Expression, ast.Constant, ast.BinOp, ast.UnaryOp, ast.Call, ast.Name, ast.Load, ast.List, ast.Tuple,
