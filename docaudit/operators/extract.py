@@ -40,35 +40,46 @@ def full_text(corpus: DataFrame) -> DataFrame:
     return corpus.select("paper_id", joined_text(F.col("paper_content")).alias("full_text"))
 
 
-def sections(texts: DataFrame) -> DataFrame:
-    """Header to header; a document without headers is one section, cut to its first 10,000 characters."""
-    found = texts.withColumn("_hits", spans(F.col("full_text"), HEADER_LINE))
-    rows = found.select(
-        "paper_id", "full_text", "_hits", F.posexplode_outer("_hits").alias("_pos", "_hit")
-    )
-    number = F.regexp_extract("_hit.hit", HEADER_LINE, 2)
-    title = strip(F.regexp_extract("_hit.hit", HEADER_LINE, 3))
-    end = F.coalesce(F.get("_hits", F.col("_pos") + 1)["start_pos"], F.length("full_text"))
-    whole = F.col("_hit").isNull()
-    return rows.select(
-        "paper_id",
-        F.coalesce("_pos", F.lit(0)).alias("section_idx"),
-        F.when(whole, F.lit("Full Paper"))
-        .when(number != "", F.concat(number, F.lit(". "), title))
-        .otherwise(title)
-        .alias("section_title"),
-        F.when(whole, F.lit(1))
-        .otherwise(F.length(F.regexp_extract("_hit.hit", HEADER_LINE, 1)))
-        .alias("section_level"),
-        F.when(whole, head(F.col("full_text"), WHOLE_SECTION_CHARS))
-        .otherwise(strip(between(F.col("full_text"), F.col("_hit.end_pos"), end)))
-        .alias("content"),
-        F.when(whole, F.lit(0)).otherwise(F.col("_hit.end_pos")).alias("start_index"),
-        end.alias("end_index"),
+# An element is a located piece of structure, of any family:
+# hit = matched text (of an equation its LaTeX), next_pos = start of the next header,
+# flag = display mode of an equation, or "no header at all" of a section.
+ELEMENT = (
+    "struct<family: string, idx: int, hit: string, start_pos: int, end_pos: int, next_pos: int, flag: boolean>"
+)
+
+
+def _element(family: str, idx: Column, hit: Column, start: Column, end: Column,
+             next_pos: Column | None = None, flag: Column | None = None) -> Column:
+    return F.struct(
+        F.lit(family).alias("family"),
+        idx.cast("int").alias("idx"),
+        hit.alias("hit"),
+        start.cast("int").alias("start_pos"),
+        end.cast("int").alias("end_pos"),
+        (F.lit(None) if next_pos is None else next_pos).cast("int").alias("next_pos"),
+        (F.lit(None) if flag is None else flag).cast("boolean").alias("flag"),
     )
 
 
-def equations(texts: DataFrame) -> DataFrame:
+def section_elements(text: Column) -> Column:
+    """Headers, each with the start of the next one; one element for a text without headers."""
+
+    def each(found: Column) -> Column:
+        return F.transform(
+            found,
+            lambda s, i: _element(
+                "section", i, s["hit"], s["start_pos"], s["end_pos"],
+                F.coalesce(F.get(found, i + 1)["start_pos"], F.length(text)), F.lit(False),
+            ),
+        )
+
+    whole = F.array(_element("section", F.lit(0), F.lit(""), F.lit(0), F.lit(0), F.length(text), F.lit(True)))
+    return F.transform(
+        F.array(spans(text, HEADER_LINE)), lambda found: F.when(F.size(found) > 0, each(found)).otherwise(whole)
+    )[0]
+
+
+def equation_elements(text: Column) -> Column:
     """Display equations first, then inline ones; the index runs on across both."""
 
     def latex_of(hit: Column) -> Column:
@@ -78,7 +89,7 @@ def equations(texts: DataFrame) -> DataFrame:
 
     def keep(pattern: str, latex, display: bool, least: int) -> Column:
         rows = F.transform(
-            spans(F.col("full_text"), pattern),
+            spans(text, pattern),
             lambda s: F.struct(
                 latex(s["hit"]).alias("latex"), s["start_pos"], s["end_pos"], F.lit(display).alias("display_mode")
             ),
@@ -89,119 +100,190 @@ def equations(texts: DataFrame) -> DataFrame:
         keep(DISPLAY_EQUATION, latex_of, True, 1),
         keep(INLINE_EQUATION, lambda h: strip(F.regexp_extract(h, INLINE_EQUATION, 1)), False, 2),
     )
-    rows = texts.withColumn("_eqs", both).select("paper_id", "full_text", F.posexplode("_eqs").alias("eq_idx", "e"))
-    display = F.col("e.display_mode")
-    reach = F.when(display, F.lit(200)).otherwise(F.lit(100))
-    label = blank_to_null(F.regexp_extract("e.latex", EQUATION_LABEL, 1))
-    start, end = F.col("e.start_pos"), F.col("e.end_pos")
-    return rows.select(
-        "paper_id",
-        "eq_idx",
-        F.when(display, F.coalesce(label, F.concat(F.lit("Equation "), (F.col("eq_idx") + 1).cast("string"))))
-        .otherwise(F.concat(F.lit("Inline "), (F.col("eq_idx") + 1).cast("string")))
-        .alias("equation_label"),
-        F.col("e.latex").alias("latex"),
-        display.alias("display_mode"),
-        strip(between(F.col("full_text"), start - reach, start)).alias("context_before"),
-        strip(between(F.col("full_text"), end, end + reach)).alias("context_after"),
+    return F.transform(
+        both,
+        lambda e, i: _element("equation", i, e["latex"], e["start_pos"], e["end_pos"], flag=e["display_mode"]),
     )
 
 
-def images(corpus: DataFrame) -> DataFrame:
-    """Image items with payload, neighbouring text and the caption found there."""
+def image_elements(content: Column) -> Column:
+    """Image items; start_pos is the item's position."""
     at = F.filter(
-        F.transform("paper_content", lambda x, i: F.struct(x["type"].alias("type"), i.alias("pos"))),
+        F.transform(content, lambda x, i: F.struct(x["type"].alias("type"), i.alias("pos"))),
         lambda x: x["type"] == "image_url",
     )
-    rows = corpus.select(
-        "paper_id", "paper_content", F.posexplode(F.transform(at, lambda x: x["pos"])).alias("image_idx", "pos")
-    ).select(
-        "paper_id",
-        "image_idx",
-        F.get("paper_content", F.col("pos"))["image_url"]["url"].alias("url"),
-        tail(blank_to_null(F.get("paper_content", F.col("pos") - 1)["text"]), 500).alias("context_before"),
-        head(blank_to_null(F.get("paper_content", F.col("pos") + 1)["text"]), 500).alias("context_after"),
-    )
-    caption = F.coalesce(
-        *[
-            blank_to_null(strip(F.regexp_extract(F.col(c), FIGURE_CAPTION, 1)))
-            for c in ("context_before", "context_after")
-        ],
-        F.concat(F.lit("Figure "), (F.col("image_idx") + 1).cast("string")),
-    )
-    cut = F.locate("base64,", F.col("url"))
-    return rows.select(
-        "paper_id",
-        "image_idx",
-        caption.alias("caption"),
-        F.when(cut > 0, F.substring(F.col("url"), cut + 7, F.length("url")))
-        .otherwise(blank_to_null(F.col("url")))
-        .alias("base64_data"),
-        "context_before",
-        "context_after",
-    )
+    return F.transform(at, lambda x, i: _element("figure", i, F.lit(""), x["pos"], x["pos"]))
 
 
-def tables(texts: DataFrame) -> DataFrame:
-    """Markdown tables with at least one data row, of any number of columns."""
+def table_rows(raw: Column) -> Column:
+    """Cells of a markdown table, without the separator row."""
+    lines = F.filter(F.split(raw, "\n"), lambda line: ~line.rlike(SEPARATOR_ROW))
+    cells = F.transform(
+        lines,
+        lambda line: F.transform(
+            F.slice(F.split(line, r"\|"), 2, F.greatest(F.size(F.split(line, r"\|")) - 2, F.lit(0))), strip
+        ),
+    )
+    return F.filter(cells, lambda c: F.size(c) > 0)
 
-    def rows_of(raw: Column) -> Column:
-        lines = F.filter(F.split(raw, "\n"), lambda line: ~line.rlike(SEPARATOR_ROW))
-        cells = F.transform(
-            lines,
-            lambda line: F.transform(
-                F.slice(F.split(line, r"\|"), 2, F.greatest(F.size(F.split(line, r"\|")) - 2, F.lit(0))), strip
-            ),
-        )
-        return F.filter(cells, lambda c: F.size(c) > 0)
 
+def table_elements(text: Column) -> Column:
+    """Markdown tables with at least one data row, of any number of columns."""
     found = F.filter(
         F.transform(
-            spans(F.col("full_text"), MARKDOWN_TABLE),
-            lambda s: F.struct(
-                strip(s["hit"]).alias("raw"), rows_of(strip(s["hit"])).alias("rows"), s["start_pos"], s["end_pos"]
-            ),
+            spans(text, MARKDOWN_TABLE),
+            lambda s: F.struct(strip(s["hit"]).alias("raw"), s["start_pos"], s["end_pos"]),
         ),
-        lambda t: F.size(t["rows"]) >= 2,
+        lambda t: F.size(table_rows(t["raw"])) >= 2,
     )
-    rows = texts.withColumn("_t", found).select("paper_id", "full_text", F.posexplode("_t").alias("table_idx", "t"))
-    start, end = F.col("t.start_pos"), F.col("t.end_pos")
-    before = between(F.col("full_text"), start - 300, start)
-    caption = F.coalesce(
-        blank_to_null(strip(F.regexp_extract(before, TABLE_CAPTION, 0))),
-        F.concat(F.lit("Table "), (F.col("table_idx") + 1).cast("string")),
+    return F.transform(found, lambda t, i: _element("table", i, t["raw"], t["start_pos"], t["end_pos"]))
+
+
+def theorem_elements(text: Column) -> Column:
+    return F.transform(
+        spans(text, THEOREM_HEAD), lambda t, i: _element("theorem", i, t["hit"], t["start_pos"], t["end_pos"])
     )
-    return rows.select(
-        "paper_id",
-        "table_idx",
-        caption.alias("caption"),
-        F.col("t.raw").alias("raw_content"),
-        F.col("t.rows").alias("rows"),
-        blank_to_null(tail(before, 200)).alias("context_before"),
-        between(F.col("full_text"), end, end + 200).alias("context_after"),
+
+
+# Columns of an element, read from (full_text, paper_content, e) rows.
+
+
+def _at(field: str) -> Column:
+    return F.col(f"e.{field}")
+
+
+def _numbered(word: str) -> Column:
+    return F.concat(F.lit(word + " "), (_at("idx") + 1).cast("string"))
+
+
+def section_columns() -> dict[str, Column]:
+    text, whole = F.col("full_text"), _at("flag")
+    number = F.regexp_extract(_at("hit"), HEADER_LINE, 2)
+    title = strip(F.regexp_extract(_at("hit"), HEADER_LINE, 3))
+    return {
+        "section_idx": _at("idx"),
+        "section_title": F.when(whole, F.lit("Full Paper"))
+        .when(number != "", F.concat(number, F.lit(". "), title))
+        .otherwise(title),
+        "section_level": F.when(whole, F.lit(1)).otherwise(F.length(F.regexp_extract(_at("hit"), HEADER_LINE, 1))),
+        "content": F.when(whole, head(text, WHOLE_SECTION_CHARS)).otherwise(
+            strip(between(text, _at("end_pos"), _at("next_pos")))
+        ),
+        "start_index": _at("end_pos"),
+        "end_index": _at("next_pos"),
+    }
+
+
+def equation_columns() -> dict[str, Column]:
+    text, display, start, end = F.col("full_text"), _at("flag"), _at("start_pos"), _at("end_pos")
+    reach = F.when(display, F.lit(200)).otherwise(F.lit(100))
+    label = blank_to_null(F.regexp_extract(_at("hit"), EQUATION_LABEL, 1))
+    return {
+        "eq_idx": _at("idx"),
+        "equation_label": F.when(display, F.coalesce(label, _numbered("Equation"))).otherwise(_numbered("Inline")),
+        "latex": _at("hit"),
+        "display_mode": display,
+        "context_before": strip(between(text, start - reach, start)),
+        "context_after": strip(between(text, end, end + reach)),
+    }
+
+
+def image_columns() -> dict[str, Column]:
+    def neighbour(step: int) -> Column:
+        return blank_to_null(F.get("paper_content", _at("start_pos") + step)["text"])
+
+    url = F.get("paper_content", _at("start_pos"))["image_url"]["url"]
+    before, after = tail(neighbour(-1), 500), head(neighbour(1), 500)
+    cut = F.locate("base64,", url)
+    return {
+        "image_idx": _at("idx"),
+        "caption": F.coalesce(
+            *[blank_to_null(strip(F.regexp_extract(c, FIGURE_CAPTION, 1))) for c in (before, after)], _numbered("Figure")
+        ),
+        "base64_data": F.when(cut > 0, F.substring(url, cut + 7, F.length(url))).otherwise(blank_to_null(url)),
+        "context_before": before,
+        "context_after": after,
+    }
+
+
+def table_columns() -> dict[str, Column]:
+    text, start, end = F.col("full_text"), _at("start_pos"), _at("end_pos")
+    before = between(text, start - 300, start)
+    return {
+        "table_idx": _at("idx"),
+        "caption": F.coalesce(
+            blank_to_null(strip(F.regexp_extract(before, TABLE_CAPTION, 0))), _numbered("Table")
+        ),
+        "raw_content": _at("hit"),
+        "rows": table_rows(_at("hit")),
+        "context_before": blank_to_null(tail(before, 200)),
+        "context_after": between(text, end, end + 200),
+    }
+
+
+def theorem_columns() -> dict[str, Column]:
+    """Reads _rest (text after the head) and _stmt (its statement) beside the element."""
+    after = F.substring(F.col("_rest"), F.length("_stmt") + 1, F.length("_rest"))
+    own = F.split(after, THEOREM_HEAD, 2)[0]
+    return {
+        "theorem_idx": _at("idx"),
+        "theorem_type": F.lower(F.regexp_extract(_at("hit"), THEOREM_HEAD, 1)),
+        "label": F.rtrim(F.replace(strip(_at("hit")), F.lit("**"), F.lit("")), F.lit(".")),
+        "statement": strip(F.col("_stmt")),
+        "proof": strip(blank_to_null(F.regexp_extract(own, PROOF_BLOCK, 1))),
+        "context_before": between(F.col("full_text"), _at("start_pos") - 300, _at("start_pos")),
+        "context_after": head(after, 300),
+    }
+
+
+def with_statement(rows: DataFrame) -> DataFrame:
+    """Add the text after a theorem head and the statement in it, each computed once."""
+    rest = F.when(
+        _at("family") == "theorem", between(F.col("full_text"), _at("end_pos"), F.length("full_text"))
     )
+    return rows.withColumn("_rest", rest).withColumn("_stmt", F.split("_rest", STATEMENT_END, 2)[0])
+
+
+def _table_of(df: DataFrame, elements: Column, columns: dict[str, Column]) -> DataFrame:
+    keep = [c for c in ("paper_id", "full_text", "paper_content") if c in df.columns]
+    rows = df.withColumn("_all", elements).select(*keep, F.explode("_all").alias("e"))
+    if "statement" in columns:
+        rows = with_statement(rows)
+    return rows.select("paper_id", *[c.alias(n) for n, c in columns.items()])
+
+
+def sections(texts: DataFrame) -> DataFrame:
+    """Header to header; a document without headers is one section, cut to its first 10,000 characters."""
+    return _table_of(texts, section_elements(F.col("full_text")), section_columns())
+
+
+def equations(texts: DataFrame) -> DataFrame:
+    return _table_of(texts, equation_elements(F.col("full_text")), equation_columns())
+
+
+def images(corpus: DataFrame) -> DataFrame:
+    """Image items with payload, neighbouring text and the caption found there."""
+    return _table_of(corpus.select("paper_id", "paper_content"), image_elements(F.col("paper_content")), image_columns())
+
+
+def tables(texts: DataFrame) -> DataFrame:
+    return _table_of(texts, table_elements(F.col("full_text")), table_columns())
 
 
 def theorems(texts: DataFrame) -> DataFrame:
     """Theorem-like blocks; a proof belongs to the block it follows, up to the next block."""
-    rows = texts.withColumn("_t", spans(F.col("full_text"), THEOREM_HEAD)).select(
-        "paper_id", "full_text", F.posexplode("_t").alias("theorem_idx", "t")
-    )
-    rows = rows.withColumn("_rest", between(F.col("full_text"), F.col("t.end_pos"), F.length("full_text")))
-    rows = rows.withColumn("_stmt", F.split("_rest", STATEMENT_END, 2)[0])
-    after = F.substring(F.col("_rest"), F.length("_stmt") + 1, F.length("_rest"))
-    own = F.split(after, THEOREM_HEAD, 2)[0]
-    start = F.col("t.start_pos")
-    return rows.select(
-        "paper_id",
-        "theorem_idx",
-        F.lower(F.regexp_extract("t.hit", THEOREM_HEAD, 1)).alias("theorem_type"),
-        F.rtrim(F.replace(strip(F.col("t.hit")), F.lit("**"), F.lit("")), F.lit(".")).alias("label"),
-        strip(F.col("_stmt")).alias("statement"),
-        strip(blank_to_null(F.regexp_extract(own, PROOF_BLOCK, 1))).alias("proof"),
-        between(F.col("full_text"), start - 300, start).alias("context_before"),
-        head(after, 300).alias("context_after"),
+    return _table_of(texts, theorem_elements(F.col("full_text")), theorem_columns())
+
+
+def elements(corpus: DataFrame) -> DataFrame:
+    """All elements of all families in one scan of the corpus: (paper_id, full_text, paper_content, e)."""
+    base = corpus.select("paper_id", "paper_content", joined_text(F.col("paper_content")).alias("full_text"))
+    text = F.col("full_text")
+    every = F.concat(
+        section_elements(text), equation_elements(text), image_elements(F.col("paper_content")),
+        table_elements(text), theorem_elements(text),
     )
+    return base.withColumn("_all", every).select("paper_id", "full_text", "paper_content", F.explode("_all").alias("e"))
 
 
 def tagged_text(corpus: DataFrame) -> DataFrame:
@@ -223,15 +305,18 @@ def tagged_text(corpus: DataFrame) -> DataFrame:
     return corpus.select("paper_id", F.array_join(parts, "\n").alias("tagged_full_text"))
 
 
-def structure_counts(papers: DataFrame, *, sections: DataFrame, equations: DataFrame, images: DataFrame,
-                     tables: DataFrame, theorems: DataFrame) -> DataFrame:
-    """Elements per document and kind; documents without any are kept with zeros."""
-    kinds = {"sections": sections, "equations": equations, "images": images, "tables": tables, "theorems": theorems}
-    union = papers.select("paper_id", F.lit(None).cast("string").alias("kind"))
-    for kind, table in kinds.items():
-        union = union.unionByName(table.select("paper_id", F.lit(kind).alias("kind")))
-    return union.groupBy("paper_id").agg(
-        *[F.count_if(F.col("kind") == kind).alias(f"n_{kind}") for kind in kinds]
+def structure_counts(corpus: DataFrame) -> DataFrame:
+    """Elements per document and family: array sizes of one scan, without explode or shuffle."""
+    content = F.col("paper_content")
+    base = corpus.select("paper_id", "paper_content", joined_text(content).alias("full_text"))
+    text = F.col("full_text")
+    return base.select(
+        "paper_id",
+        F.size(section_elements(text)).alias("n_sections"),
+        F.size(equation_elements(text)).alias("n_equations"),
+        F.size(image_elements(content)).alias("n_images"),
+        F.size(table_elements(text)).alias("n_tables"),
+        F.size(theorem_elements(text)).alias("n_theorems"),
     )
 
 

@@ -63,6 +63,8 @@ def finding_pages(ranked_findings: DataFrame, size: int = 1000) -> DataFrame:
 def rollup(papers: DataFrame, results: DataFrame, strictness: str = "strict", overrides: dict | None = None) -> DataFrame:
     """One row per document, also for those without results: counts and verifier usage.
 
+    Rows accepted by triage count as snippets, but not as verified ones.
+
     Counting per (document, verifier) first keeps the shuffle to a handful of rows per
     document and task, even for a document that owns a third of all results.
     """
@@ -72,13 +74,15 @@ def rollup(papers: DataFrame, results: DataFrame, strictness: str = "strict", ov
         F.max(F.when(is_finding(strictness, overrides), F.col("confidence"))).alias("top"),
     )
     per_paper = per_verifier.groupBy("paper_id").agg(
-        F.sum("n").alias("snippets_verified"),
+        F.sum("n").alias("total_snippets"),
+        F.sum(F.when(F.col("verifier_name") != "triage", F.col("n"))).alias("snippets_verified"),
         F.sum("errors").alias("errors_detected"),
         F.max("top").alias("top_confidence"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("verifier_name", "n")))).alias("verifier_usage"),
     )
     return papers.join(per_paper, "paper_id", "left").withColumns(
         {
+            "total_snippets": F.coalesce("total_snippets", F.lit(0)).cast("bigint"),
             "snippets_verified": F.coalesce("snippets_verified", F.lit(0)).cast("bigint"),
             "errors_detected": F.coalesce("errors_detected", F.lit(0)).cast("bigint"),
             "verifier_usage": F.coalesce("verifier_usage", F.expr("cast(map() as map<string, bigint>)")),

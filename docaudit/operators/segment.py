@@ -22,10 +22,9 @@ COLUMNS = {
 }
 
 
-def order_key(family: str, index: Column, part: Column | None = None) -> Column:
-    """Sortable position in the document, known without a window."""
-    base = F.lit(FAMILIES.index(family)).cast("bigint") * (1 << 52) + index.cast("bigint") * (1 << 20)
-    return base if part is None else base + F.coalesce(part, F.lit(0))
+def order_key(family: str, index: Column) -> Column:
+    """Sortable position in the document, known without a window; pieces add their number."""
+    return F.lit(FAMILIES.index(family)).cast("bigint") * (1 << 52) + index.cast("bigint") * (1 << 20)
 
 
 def _shape(df: DataFrame) -> DataFrame:
@@ -57,128 +56,167 @@ def _named(label: str, text: Column) -> Column:
     return F.when(text != "", F.concat(F.lit(label), text))
 
 
-def section_snippets(sections: DataFrame, section_chars: int = SECTION_CHARS,
-                     size: int = SNIPPET_CHARS, overlap: int = OVERLAP_CHARS) -> DataFrame:
-    """Long sections become overlapping parts."""
+def section_parts(section_chars: int = SECTION_CHARS, size: int = SNIPPET_CHARS, overlap: int = OVERLAP_CHARS) -> dict[str, Column]:
+    """Long sections become overlapping pieces."""
     long = F.length("content") > section_chars
-    pieces = F.when(long, windows(F.col("content"), size, overlap)).otherwise(F.array("content"))
-    rows = sections.withColumn("_long", long).withColumn("_pieces", pieces).select(
-        "*", F.posexplode("_pieces").alias("_j", "piece")
+    return {
+        "base_id": _sid("sec", "section_idx"),
+        "snippet_type": F.when(F.col("section_level") >= 3, "SUBSECTION").otherwise("SECTION"),
+        "location": F.concat(F.lit("Section "), "section_title"),
+        "pieces": F.when(long, windows(F.col("content"), size, overlap)).otherwise(F.array("content")),
+        "is_split": long,
+        "base_key": order_key("section", F.col("section_idx")),
+        "section_title": F.col("section_title"),
+        "section_level": F.col("section_level").cast("int"),
+    }
+
+
+def equation_parts() -> dict[str, Column]:
+    content = _block(
+        _named("Context before:\n", tail(F.col("context_before"), 500)),
+        F.concat(F.lit("Equation:\n"), "latex"),
+        _named("Context after:\n", head(F.col("context_after"), 500)),
     )
-    part = F.when(F.col("_long"), F.col("_j"))
-    return _shape(
-        rows.select(
-            "paper_id",
-            F.concat(
-                _sid("sec", "section_idx"),
-                F.when(F.col("_long"), F.concat(F.lit("_part_"), F.col("_j").cast("string"))).otherwise(F.lit("")),
-            ).alias("snippet_id"),
-            F.when(F.col("section_level") >= 3, "SUBSECTION").otherwise("SECTION").alias("snippet_type"),
-            F.concat(
-                F.lit("Section "),
-                "section_title",
-                F.when(part > 0, F.concat(F.lit(" (part "), (part + 1).cast("string"), F.lit(")"))).otherwise(F.lit("")),
-            ).alias("location"),
-            F.col("piece").alias("content"),
-            order_key("section", F.col("section_idx"), part).alias("order_key"),
-            "section_title",
-            F.col("section_level").cast("int"),
-            part.alias("part"),
-            F.when(F.col("_long"), F.size("_pieces")).alias("total_parts"),
-        )
+    return {
+        "base_id": _sid("eq", "eq_idx"),
+        "snippet_type": F.lit("EQUATION"),
+        "location": F.col("equation_label"),
+        "pieces": F.array(content),
+        "base_key": order_key("equation", F.col("eq_idx")),
+        "latex": F.col("latex"),
+        "display_mode": F.col("display_mode"),
+    }
+
+
+def figure_parts() -> dict[str, Column]:
+    content = _block(
+        _named("Caption: ", F.col("caption")),
+        _named("Context before:\n", tail(F.col("context_before"), 300)),
+        _named("Context after:\n", head(F.col("context_after"), 300)),
+    )
+    return {
+        "base_id": _sid("img", "image_idx"),
+        "snippet_type": F.lit("FIGURE"),
+        "location": F.col("caption"),
+        "pieces": F.array(content),
+        "base_key": order_key("figure", F.col("image_idx")),
+        "caption": F.col("caption"),
+    }
+
+
+def table_parts() -> dict[str, Column]:
+    content = _block(_named("Caption: ", F.col("caption")), F.concat(F.lit("Table content:\n"), "raw_content"))
+    return {
+        "base_id": _sid("tbl", "table_idx"),
+        "snippet_type": F.lit("TABLE"),
+        "location": F.col("caption"),
+        "pieces": F.array(content),
+        "base_key": order_key("table", F.col("table_idx")),
+        "caption": F.col("caption"),
+        "row_count": F.size("rows"),
+    }
+
+
+def theorem_parts() -> dict[str, Column]:
+    content = _block(
+        F.concat(F.lit("**"), "label", F.lit("**")),
+        F.concat(F.lit("Statement: "), "statement"),
+        _named("Proof: ", F.col("proof")),
+        _named("Context before:\n", tail(F.col("context_before"), 300)),
+        _named("Context after:\n", head(F.col("context_after"), 300)),
     )
+    return {
+        "base_id": _sid("thm", "theorem_idx"),
+        "snippet_type": F.when(F.col("theorem_type") == "claim", "THEOREM").otherwise(F.upper("theorem_type")),
+        "location": F.col("label"),
+        "pieces": F.array(content),
+        "base_key": order_key("theorem", F.col("theorem_idx")),
+        "theorem_type": F.col("theorem_type"),
+        "has_proof": F.col("proof").isNotNull(),
+    }
+
+
+def _unfold(rows: DataFrame) -> DataFrame:
+    """One row per piece; the pieces of a split section carry their number."""
+    split = F.coalesce("is_split", F.lit(False)) if "is_split" in rows.columns else F.lit(False)
+    rest = [c for c in rows.columns if c not in ("pieces", "is_split")]
+    out = rows.select(*rest, split.alias("_split"), F.size("pieces").alias("_n"), F.posexplode("pieces").alias("_j", "content"))
+    part = F.when(F.col("_split"), F.col("_j"))
+    number = F.col("_j").cast("string")
+    return out.withColumns(
+        {
+            "part": part,
+            "total_parts": F.when(F.col("_split"), F.col("_n")),
+            "snippet_id": F.when(F.col("_split"), F.concat("base_id", F.lit("_part_"), number)).otherwise(F.col("base_id")),
+            "location": F.when(part > 0, F.concat("location", F.lit(" (part "), (part + 1).cast("string"), F.lit(")"))).otherwise(
+                F.col("location")
+            ),
+            "order_key": F.col("base_key") + F.coalesce(part, F.lit(0)),
+        }
+    )
+
+
+def _snippets(df: DataFrame, parts: dict[str, Column]) -> DataFrame:
+    return _shape(_unfold(df.select("paper_id", *[c.alias(n) for n, c in parts.items()])))
+
+
+def section_snippets(sections: DataFrame, section_chars: int = SECTION_CHARS, size: int = SNIPPET_CHARS,
+                     overlap: int = OVERLAP_CHARS) -> DataFrame:
+    return _snippets(sections, section_parts(section_chars, size, overlap))
 
 
 def equation_snippets(equations: DataFrame) -> DataFrame:
-    return _shape(
-        equations.select(
-            "paper_id",
-            _sid("eq", "eq_idx").alias("snippet_id"),
-            F.lit("EQUATION").alias("snippet_type"),
-            F.col("equation_label").alias("location"),
-            _block(
-                _named("Context before:\n", tail(F.col("context_before"), 500)),
-                F.concat(F.lit("Equation:\n"), "latex"),
-                _named("Context after:\n", head(F.col("context_after"), 500)),
-            ).alias("content"),
-            order_key("equation", F.col("eq_idx")).alias("order_key"),
-            "latex",
-            "display_mode",
-        )
-    )
+    return _snippets(equations, equation_parts())
 
 
 def figure_snippets(images: DataFrame) -> DataFrame:
-    return _shape(
-        images.select(
-            "paper_id",
-            _sid("img", "image_idx").alias("snippet_id"),
-            F.lit("FIGURE").alias("snippet_type"),
-            F.col("caption").alias("location"),
-            _block(
-                _named("Caption: ", F.col("caption")),
-                _named("Context before:\n", tail(F.col("context_before"), 300)),
-                _named("Context after:\n", head(F.col("context_after"), 300)),
-            ).alias("content"),
-            order_key("figure", F.col("image_idx")).alias("order_key"),
-            "caption",
-        )
-    )
+    return _snippets(images, figure_parts())
 
 
 def table_snippets(tables: DataFrame) -> DataFrame:
-    return _shape(
-        tables.select(
-            "paper_id",
-            _sid("tbl", "table_idx").alias("snippet_id"),
-            F.lit("TABLE").alias("snippet_type"),
-            F.col("caption").alias("location"),
-            _block(
-                _named("Caption: ", F.col("caption")), F.concat(F.lit("Table content:\n"), "raw_content")
-            ).alias("content"),
-            order_key("table", F.col("table_idx")).alias("order_key"),
-            "caption",
-            F.size("rows").alias("row_count"),
-        )
-    )
+    return _snippets(tables, table_parts())
 
 
 def theorem_snippets(theorems: DataFrame) -> DataFrame:
-    kind = F.when(F.col("theorem_type") == "claim", "THEOREM").otherwise(F.upper("theorem_type"))
-    return _shape(
-        theorems.select(
-            "paper_id",
-            _sid("thm", "theorem_idx").alias("snippet_id"),
-            kind.alias("snippet_type"),
-            F.col("label").alias("location"),
-            _block(
-                F.concat(F.lit("**"), "label", F.lit("**")),
-                F.concat(F.lit("Statement: "), "statement"),
-                _named("Proof: ", F.col("proof")),
-                _named("Context before:\n", tail(F.col("context_before"), 300)),
-                _named("Context after:\n", head(F.col("context_after"), 300)),
-            ).alias("content"),
-            order_key("theorem", F.col("theorem_idx")).alias("order_key"),
-            "theorem_type",
-            F.col("proof").isNotNull().alias("has_proof"),
-        )
-    )
+    return _snippets(theorems, theorem_parts())
 
 
 def segment(corpus: DataFrame) -> DataFrame:
-    """All snippets of all documents: five projections of the corpus, no shuffle."""
-    texts = extract.full_text(corpus)
-    parts = [
-        section_snippets(extract.sections(texts)),
-        equation_snippets(extract.equations(texts)),
-        figure_snippets(extract.images(corpus)),
-        table_snippets(extract.tables(texts)),
-        theorem_snippets(extract.theorems(texts)),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    """All snippets of all documents from one scan of the corpus, without a shuffle.
+
+    The families' elements come out of one explode. Each later step is one projection
+    in which a column picks the expression of the row's family.
+    """
+    family = F.col("e.family")
+
+    def pick(by_family: dict[str, dict[str, Column]]) -> list[Column]:
+        names = list(dict.fromkeys(n for cols in by_family.values() for n in cols))
+        out = []
+        for name in names:
+            case = None
+            for fam, cols in by_family.items():
+                if name in cols:
+                    hit = family == fam
+                    case = F.when(hit, cols[name]) if case is None else case.when(hit, cols[name])
+            out.append(case.alias(name))
+        return out
+
+    images_ = {k: v for k, v in extract.image_columns().items() if k != "base64_data"}
+    rows = extract.with_statement(extract.elements(corpus)).select(
+        "paper_id",
+        "e",
+        *pick(
+            {
+                "section": extract.section_columns(), "equation": extract.equation_columns(), "figure": images_,
+                "table": extract.table_columns(), "theorem": extract.theorem_columns(),
+            }
+        ),
+    )
+    builders = {
+        "section": section_parts(), "equation": equation_parts(), "figure": figure_parts(),
+        "table": table_parts(), "theorem": theorem_parts(),
+    }
+    return _shape(_unfold(rows.select("paper_id", *pick(builders))))
 
 
 def line_snippets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

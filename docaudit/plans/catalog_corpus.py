@@ -116,12 +116,7 @@ SELECT p.paper_id, sc.n::BIGINT AS n_sections,
  1::BIGINT AS n_images, 1::BIGINT AS n_tables, 1::BIGINT AS n_theorems
 FROM papers p JOIN sc USING (paper_id)""")
 def _(spark, sf):
-    c = inputs.corpus(spark, sf)
-    t = extract.full_text(c)
-    return extract.structure_counts(
-        c, sections=extract.sections(t), equations=extract.equations(t), images=extract.images(c),
-        tables=extract.tables(t), theorems=extract.theorems(t),
-    )
+    return extract.structure_counts(inputs.corpus(spark, sf))
 
 
 @query("corpus_profile", """

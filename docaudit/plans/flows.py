@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docaudit.constants import UNCERTAINTY_THRESHOLD
 from docaudit.operators import align, findings, metrics, routing, scorers, segment, triage
+from docaudit.session import ensure_checkpoint_dir
 
 RESULT = [
     "paper_id", "snippet_id", "order_key", "location", "verifier_name", "status",
@@ -18,14 +19,15 @@ RESULT = [
 ]
 
 
-def score_routed(routed: DataFrame, registry: scorers.ScorerRegistry, disabled: tuple[str, ...] = ()) -> DataFrame:
+def score_routed(routed: DataFrame, registry: scorers.ScorerRegistry, keep: tuple[str, ...] = (),
+                 disabled: tuple[str, ...] = ()) -> DataFrame:
     """Run the scorer each row is routed to; rows it cannot take, or without a scorer, are SKIPPED."""
     name = F.col("verifier_name")
     ready = F.lit(None).cast("boolean")
     for scorer in registry.names():
         ready = F.when(name == scorer, routing.can_verify(scorer, scorer not in disabled)).otherwise(ready)
     sent = routed.withColumn("_send", F.when(ready, name))
-    return registry.apply(sent, route="_send").select(*RESULT)
+    return registry.apply(sent, route="_send").select(*RESULT, *keep)
 
 
 def exhaustive(snippets: DataFrame, registry: scorers.ScorerRegistry | None = None, **route_options) -> DataFrame:
@@ -37,39 +39,30 @@ def triaged(snippets: DataFrame, registry: scorers.ScorerRegistry | None = None,
             threshold: float = UNCERTAINTY_THRESHOLD, budget: int | None = None) -> DataFrame:
     """Score all snippets cheaply, send the uncertain ones to specialists, accept the rest.
 
-    Selection comes before the specialists in the plan, so an expensive model never
-    sees an unselected row. Without a budget the accepted rows are the complement of a
-    per-row predicate and no join is needed at all.
+    One pass: selection, routing and the expression scorers are columns of the same
+    projection, and a batch scorer sees only the rows sent to it. A budget adds one
+    join with the selected ids, of which there are at most ``budget`` per document.
     """
-    registry = registry or scorers.default_registry()
-    scored = triage.rule_score(snippets)
+    scored = routing.with_specialist(triage.rule_score(snippets))
     if budget is None:
-        routed = routing.with_specialist(scored).withColumn(
-            "verifier_name", F.when(F.col("uncertainty") >= threshold, F.col("routed_to"))
-        )
-        sent = routed.where(F.col("verifier_name").isNotNull())
-        rest = routed.where(F.col("verifier_name").isNull())
+        chosen = F.col("uncertainty") >= threshold
     else:
-        chosen = routing.with_specialist(triage.select_uncertain(scored, threshold, budget), target="verifier_name")
-        sent = chosen.where(F.col("verifier_name").isNotNull())
-        rest = scored.join(sent.select("snippet_id"), "snippet_id", "left_anti")
-    low_risk = rest.withColumns(
-        {
-            "verifier_name": F.lit("triage"),
-            "status": F.lit("NO_ERROR"),
-            "error_detected": F.lit(False),
-            "confidence": F.greatest(F.lit(0.0), 1.0 - F.col("uncertainty")),
-            "predicted_error_category": F.lit(None).cast("string"),
-        }
+        ids = triage.select_uncertain(scored, threshold, budget).select("snippet_id", F.lit(True).alias("_chosen"))
+        scored = scored.join(ids, "snippet_id", "left")
+        chosen = F.coalesce("_chosen", F.lit(False))
+    results = score_routed(scored.withColumn("verifier_name", F.when(chosen, F.col("routed_to"))), registry or scorers.default_registry(), ("uncertainty",))
+    low = F.col("verifier_name").isNull()
+    return results.select(
+        *[c for c in RESULT if c not in ("verifier_name", "status", "confidence")],
+        F.when(low, "triage").otherwise(F.col("verifier_name")).alias("verifier_name"),
+        F.when(low, "NO_ERROR").otherwise(F.col("status")).alias("status"),
+        F.when(low, F.greatest(F.lit(0.0), 1.0 - F.col("uncertainty"))).otherwise(F.col("confidence")).alias("confidence"),
     ).select(*RESULT)
-    return score_routed(sent, registry).unionByName(low_risk)
 
 
-def predictions(papers: DataFrame, snippets: DataFrame, results: DataFrame, strictness: str = "strict") -> DataFrame:
-    """Document roll-up with its snippet total."""
-    totals = snippets.groupBy("paper_id").agg(F.count("*").alias("total_snippets"))
-    base = papers.join(totals, "paper_id", "left").withColumn("total_snippets", F.coalesce("total_snippets", F.lit(0)))
-    return findings.rollup(base, results, strictness)
+def predictions(papers: DataFrame, results: DataFrame, strictness: str = "strict") -> DataFrame:
+    """Document roll-up. Every snippet has one result, so the totals need no second scan."""
+    return findings.rollup(papers, results, strictness)
 
 
 def evaluate(predicted: DataFrame, annotations: DataFrame, category: str | None = None,
@@ -120,15 +113,20 @@ def report(profile: DataFrame, totals: DataFrame, usage: DataFrame, table: DataF
 
 
 def verify_corpus(corpus: DataFrame, mode: str = "exhaustive", strictness: str = "strict", **options) -> dict[str, DataFrame]:
-    """A whole corpus: one row per document in, results, findings and roll-up out."""
-    snippets = segment.segment(corpus)
+    """A whole corpus: one row per document in, results, findings and roll-up out.
+
+    Snippets are written once to the checkpoint folder: later steps read them from
+    there instead of parsing the corpus again, also after the loss of an executor.
+    """
+    ensure_checkpoint_dir(corpus.sparkSession)
+    snippets = segment.segment(corpus).checkpoint()
     run = {"exhaustive": exhaustive, "uncertainty": triaged}[mode]
     results = run(snippets, **options)
     return {
         "snippets": snippets,
         "results": results,
         "findings": findings.ranked(findings.findings(results, strictness)),
-        "predictions": predictions(corpus.select("paper_id", "title", "paper_category"), snippets, results, strictness),
+        "predictions": predictions(corpus.select("paper_id", "title", "paper_category"), results, strictness),
     }
 
 
