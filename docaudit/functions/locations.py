@@ -107,16 +107,21 @@ def location_score(a: Column, b: Column) -> Column:
     """Match score in [0, 1] of two :func:`match_key` structs."""
     by_norm = similarity(a["norm"], b["norm"], a["norm_chars"], b["norm_chars"])
     by_raw = similarity(a["raw"], b["raw"], a["raw_chars"], b["raw_chars"])
-    shared = F.size(F.array_intersect(a["ids"], b["ids"]))
-    either = F.size(F.array_union(a["ids"], b["ids"]))
-    return (
-        F.when(
-            a["kind"] == b["kind"],
-            F.when((F.size(a["ids"]) == 0) | (F.size(b["ids"]) == 0), F.lit(0.0))
+    n_a, n_b = F.size(a["ids"]), F.size(b["ids"])
+
+    def by_ids(shared: Column) -> Column:
+        either = n_a + n_b - shared
+        return (
+            F.when((n_a == 0) | (n_b == 0), F.lit(0.0))
             .when(shared == either, F.lit(1.0))
             .when(shared > 0, F.lit(0.5) + F.lit(0.5) * (shared / either))
-            .otherwise(by_norm),
+            .otherwise(by_norm)
         )
-        .when((a["kind"] == "unknown") | (b["kind"] == "unknown"), by_norm * 0.5)
+
+    same_kind = F.transform(F.array(F.size(F.array_intersect(a["ids"], b["ids"]))), by_ids)[0]
+    unknown = (a["kind"] == "unknown") | (b["kind"] == "unknown")
+    return (
+        F.when(a["kind"] == b["kind"], same_kind)
+        .when(unknown, by_norm * 0.5)
         .otherwise(F.greatest(by_raw, by_norm) * 0.8)
     )

@@ -22,7 +22,8 @@ def head(text: Column, n: int) -> Column:
 
 
 def tail(text: Column, n: int) -> Column:
-    return F.when(F.length(text) <= n, text).otherwise(F.substring(text, -n, n))
+    """Last ``n`` characters, or the whole of a shorter text."""
+    return F.substring(text, -n, n)
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
@@ -97,8 +98,11 @@ def similarity(a: Column, b: Column, a_chars: Column | None = None, b_chars: Col
     """
     a_chars = chars_of(a) if a_chars is None else a_chars
     b_chars = chars_of(b) if b_chars is None else b_chars
-    union = F.size(F.array_union(a_chars, b_chars))
-    overlap = F.size(F.array_intersect(a_chars, b_chars)) / union
+    # both arrays are sets, so the size of the union follows from that of the overlap
+    overlap = F.transform(
+        F.array(F.size(F.array_intersect(a_chars, b_chars))),
+        lambda n: n / (F.size(a_chars) + F.size(b_chars) - n),
+    )[0]
     return (
         F.when(a == b, F.lit(1.0))
         .when(F.contains(b, a) | F.contains(a, b), F.lit(0.85))

@@ -46,7 +46,9 @@ def candidate_scores(preds: DataFrame, anns: DataFrame, accept: float = MATCH_AC
     pairs = p.select("paper_id", "n_predictions", F.struct("_key", "error_category", "error_location").alias("p")).join(
         a.select("paper_id", "n_annotations", F.struct("_key", "error_category", "error_location").alias("a")), "paper_id"
     )
-    scored = pairs.withColumn("score", pair_score(F.col("p"), F.col("a"))).where(F.col("score") >= accept)
+    # a filter on the score would be evaluated below the projection, so twice per pair
+    kept = F.filter(F.array(pair_score(F.col("p"), F.col("a"))), lambda score: score >= accept)
+    scored = pairs.select("*", F.explode_outer(kept).alias("score")).where(F.col("score").isNotNull())
     return scored.select(
         "paper_id",
         F.col("p.error_location").alias("predicted_location"),
@@ -102,7 +104,8 @@ def _fold(preds: DataFrame, anns: DataFrame, accept: float) -> DataFrame:
         take,
         lambda acc: acc["out"],
     )
-    return both.select("paper_id", F.inline(folded))
+    # outer, since an inner one would test the folded array first, by folding twice
+    return both.select("paper_id", F.inline_outer(folded)).where(F.col("pred_idx").isNotNull())
 
 
 def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT, fold_rows: int | None = None) -> DataFrame:
@@ -241,7 +244,7 @@ def judged_matches(judged: DataFrame) -> DataFrame:
     """
     ok = judged.where(F.col("matches").isNotNull())
     pairs = sanitize_matches(F.col("matches"), F.col("n_annotations"), F.col("n_predictions"))
-    return ok.select("paper_id", F.inline(pairs)).select(
+    return ok.select("paper_id", F.inline_outer(pairs)).where(F.col("pred_idx").isNotNull()).select(
         "paper_id",
         F.col("pred_idx").cast("bigint").alias("pred_idx"),
         F.col("ann_idx").cast("bigint").alias("ann_idx"),

@@ -175,104 +175,124 @@ def section_columns() -> dict[str, Column]:
 
 
 def equation_columns() -> dict[str, Column]:
-    text, display, start, end = F.col("full_text"), _at("flag"), _at("start_pos"), _at("end_pos")
-    reach = F.when(display, F.lit(200)).otherwise(F.lit(100))
-    label = blank_to_null(F.regexp_extract(_at("hit"), EQUATION_LABEL, 1))
+    display = _at("flag")
+    label = F.regexp_extract(_at("hit"), EQUATION_LABEL, 1)
     return {
         "eq_idx": _at("idx"),
-        "equation_label": F.when(display, F.coalesce(label, _numbered("Equation"))).otherwise(_numbered("Inline")),
+        "equation_label": F.when(~display, _numbered("Inline")).when(label != "", label).otherwise(_numbered("Equation")),
         "latex": _at("hit"),
         "display_mode": display,
-        "context_before": strip(between(text, start - reach, start)),
-        "context_after": strip(between(text, end, end + reach)),
+        "context_before": F.col("_before"),
+        "context_after": F.col("_after"),
     }
 
 
 def image_columns() -> dict[str, Column]:
-    def neighbour(step: int) -> Column:
-        return blank_to_null(F.get("paper_content", _at("start_pos") + step)["text"])
-
     url = F.get("paper_content", _at("start_pos"))["image_url"]["url"]
-    before, after = tail(neighbour(-1), 500), head(neighbour(1), 500)
+    first, second = (strip(F.regexp_extract(c, FIGURE_CAPTION, 1)) for c in ("_before", "_after"))
     cut = F.locate("base64,", url)
     return {
         "image_idx": _at("idx"),
-        "caption": F.coalesce(
-            *[blank_to_null(strip(F.regexp_extract(c, FIGURE_CAPTION, 1))) for c in (before, after)], _numbered("Figure")
-        ),
-        "base64_data": F.when(cut > 0, F.substring(url, cut + 7, F.length(url))).otherwise(blank_to_null(url)),
-        "context_before": before,
-        "context_after": after,
+        "caption": F.when(first != "", first).when(second != "", second).otherwise(_numbered("Figure")),
+        "base64_data": F.when(cut > 0, F.substring(url, cut + 7, F.length(url))).when(url != "", url),
+        "context_before": F.col("_before"),
+        "context_after": F.col("_after"),
     }
 
 
 def table_columns() -> dict[str, Column]:
-    text, start, end = F.col("full_text"), _at("start_pos"), _at("end_pos")
-    before = between(text, start - 300, start)
+    caption = strip(F.regexp_extract("_before", TABLE_CAPTION, 0))
     return {
         "table_idx": _at("idx"),
-        "caption": F.coalesce(
-            blank_to_null(strip(F.regexp_extract(before, TABLE_CAPTION, 0))), _numbered("Table")
-        ),
+        "caption": F.when(caption != "", caption).otherwise(_numbered("Table")),
         "raw_content": _at("hit"),
         "rows": table_rows(_at("hit")),
-        "context_before": blank_to_null(tail(before, 200)),
-        "context_after": between(text, end, end + 200),
+        "context_before": tail(blank_to_null(F.col("_before")), 200),
+        "context_after": F.col("_after"),
     }
 
 
 def theorem_columns() -> dict[str, Column]:
-    """Reads _rest (text after the head) and _stmt (its statement) beside the element."""
-    after = F.substring(F.col("_rest"), F.length("_stmt") + 1, F.length("_rest"))
-    own = F.split(after, THEOREM_HEAD, 2)[0]
+    own = F.split("_after", THEOREM_HEAD, 2)[0]
     return {
         "theorem_idx": _at("idx"),
         "theorem_type": F.lower(F.regexp_extract(_at("hit"), THEOREM_HEAD, 1)),
         "label": F.rtrim(F.replace(strip(_at("hit")), F.lit("**"), F.lit("")), F.lit(".")),
         "statement": strip(F.col("_stmt")),
         "proof": strip(blank_to_null(F.regexp_extract(own, PROOF_BLOCK, 1))),
-        "context_before": between(F.col("full_text"), _at("start_pos") - 300, _at("start_pos")),
-        "context_after": head(after, 300),
+        "context_before": F.col("_before"),
+        "context_after": head(F.col("_after"), 300),
     }
 
 
-def with_statement(rows: DataFrame) -> DataFrame:
-    """Add the text after a theorem head and the statement in it, each computed once."""
-    rest = F.when(
-        _at("family") == "theorem", between(F.col("full_text"), _at("end_pos"), F.length("full_text"))
-    )
-    return rows.withColumn("_rest", rest).withColumn("_stmt", F.split("_rest", STATEMENT_END, 2)[0])
+def with_surroundings(rows: DataFrame, families: list[str]) -> DataFrame:
+    """Add the text around each element: _before and _after, and a theorem's _stmt.
 
+    They are a projection of their own because several columns read each of them.
+    What follows a theorem starts after its statement.
+    """
+    text, start, end = F.col("full_text"), _at("start_pos"), _at("end_pos")
+    family = _at("family")
+    reach = F.when(_at("flag"), F.lit(200)).otherwise(F.lit(100))
 
-def _table_of(df: DataFrame, elements: Column, columns: dict[str, Column]) -> DataFrame:
+    def neighbour(step: int) -> Column:
+        return blank_to_null(F.get("paper_content", start + step)["text"])
+
+    def pick(arms: dict[str, Column]) -> Column:
+        case = F.lit(None).cast("string")
+        for name, value in arms.items():
+            if name in families:
+                case = F.when(family == name, value).otherwise(case)
+        return case
+
+    if "theorem" in families:
+        rows = rows.withColumn("_rest", F.when(family == "theorem", between(text, end, F.length(text))))
+        rows = rows.withColumn("_stmt", F.split("_rest", STATEMENT_END, 2)[0])
+    before, after = {}, {}
+    if "figure" in families:
+        before["figure"], after["figure"] = tail(neighbour(-1), 500), head(neighbour(1), 500)
+    if "equation" in families:
+        before["equation"] = strip(between(text, start - reach, start))
+        after["equation"] = strip(between(text, end, end + reach))
+    if "table" in families:
+        before["table"], after["table"] = between(text, start - 300, start), between(text, end, end + 200)
+    if "theorem" in families:
+        before["theorem"] = between(text, start - 300, start)
+        after["theorem"] = F.substring(F.col("_rest"), F.length("_stmt") + 1, F.length("_rest"))
+    return rows.withColumns({"_before": pick(before), "_after": pick(after)})
+
+
+def _table_of(df: DataFrame, family: str, elements: Column, columns: dict[str, Column]) -> DataFrame:
     keep = [c for c in ("paper_id", "full_text", "paper_content") if c in df.columns]
-    rows = df.withColumn("_all", elements).select(*keep, F.explode("_all").alias("e"))
-    if "statement" in columns:
-        rows = with_statement(rows)
+    # An inner explode makes Catalyst test the array in a filter, and so build it twice.
+    rows = df.select(*keep, F.explode_outer(elements).alias("e")).where(F.col("e").isNotNull())
+    if "full_text" not in keep:
+        rows = rows.withColumn("full_text", F.lit(""))
+    rows = with_surroundings(rows, [family])
     return rows.select("paper_id", *[c.alias(n) for n, c in columns.items()])
 
 
 def sections(texts: DataFrame) -> DataFrame:
     """Header to header; a document without headers is one section, cut to its first 10,000 characters."""
-    return _table_of(texts, section_elements(F.col("full_text")), section_columns())
+    return _table_of(texts, "section", section_elements(F.col("full_text")), section_columns())
 
 
 def equations(texts: DataFrame) -> DataFrame:
-    return _table_of(texts, equation_elements(F.col("full_text")), equation_columns())
+    return _table_of(texts, "equation", equation_elements(F.col("full_text")), equation_columns())
 
 
 def images(corpus: DataFrame) -> DataFrame:
     """Image items with payload, neighbouring text and the caption found there."""
-    return _table_of(corpus.select("paper_id", "paper_content"), image_elements(F.col("paper_content")), image_columns())
+    return _table_of(corpus.select("paper_id", "paper_content"), "figure", image_elements(F.col("paper_content")), image_columns())
 
 
 def tables(texts: DataFrame) -> DataFrame:
-    return _table_of(texts, table_elements(F.col("full_text")), table_columns())
+    return _table_of(texts, "table", table_elements(F.col("full_text")), table_columns())
 
 
 def theorems(texts: DataFrame) -> DataFrame:
     """Theorem-like blocks; a proof belongs to the block it follows, up to the next block."""
-    return _table_of(texts, theorem_elements(F.col("full_text")), theorem_columns())
+    return _table_of(texts, "theorem", theorem_elements(F.col("full_text")), theorem_columns())
 
 
 def elements(corpus: DataFrame) -> DataFrame:
@@ -283,7 +303,7 @@ def elements(corpus: DataFrame) -> DataFrame:
         section_elements(text), equation_elements(text), image_elements(F.col("paper_content")),
         table_elements(text), theorem_elements(text),
     )
-    return base.withColumn("_all", every).select("paper_id", "full_text", "paper_content", F.explode("_all").alias("e"))
+    return base.select("paper_id", "full_text", "paper_content", F.explode_outer(every).alias("e"))
 
 
 def tagged_text(corpus: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def run_totals(predictions: DataFrame) -> DataFrame:
 def raw_errors(responses: DataFrame, response: str = "response") -> DataFrame:
     """Findings of a whole-document review, from the model's raw answer."""
     parsed = responses.withColumn("_r", parse_object(F.col(response), RAW_ERRORS))
-    rows = parsed.select("paper_id", F.posexplode("_r.errors").alias("order_key", "e"))
+    rows = parsed.select("paper_id", F.posexplode_outer("_r.errors").alias("order_key", "e")).where(F.col("e").isNotNull())
 
     def or_unknown(c: Column) -> Column:
         return F.coalesce(F.when(c != "", c), F.lit("Unknown"))

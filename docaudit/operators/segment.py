@@ -137,10 +137,14 @@ def theorem_parts() -> dict[str, Column]:
 
 
 def _unfold(rows: DataFrame) -> DataFrame:
-    """One row per piece; the pieces of a split section carry their number."""
+    """One row per piece; the pieces of a split section carry their number.
+
+    The outer explode matters: an inner one adds a filter on the array's size, which is
+    pushed down and builds every piece a second time. No array here is empty.
+    """
     split = F.coalesce("is_split", F.lit(False)) if "is_split" in rows.columns else F.lit(False)
     rest = [c for c in rows.columns if c not in ("pieces", "is_split")]
-    out = rows.select(*rest, split.alias("_split"), F.size("pieces").alias("_n"), F.posexplode("pieces").alias("_j", "content"))
+    out = rows.select(*rest, split.alias("_split"), F.size("pieces").alias("_n"), F.posexplode_outer("pieces").alias("_j", "content"))
     part = F.when(F.col("_split"), F.col("_j"))
     number = F.col("_j").cast("string")
     return out.withColumns(
@@ -202,7 +206,7 @@ def segment(corpus: DataFrame) -> DataFrame:
         return out
 
     images_ = {k: v for k, v in extract.image_columns().items() if k != "base64_data"}
-    rows = extract.with_statement(extract.elements(corpus)).select(
+    rows = extract.with_surroundings(extract.elements(corpus), FAMILIES).select(
         "paper_id",
         "e",
         *pick(
@@ -221,7 +225,7 @@ def segment(corpus: DataFrame) -> DataFrame:
 
 def line_snippets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Non-blank lines of plain text as paragraph snippets."""
-    rows = docs.select("*", F.posexplode(F.split(text, "\n")).alias("line_idx", "content"))
+    rows = docs.select("*", F.posexplode_outer(F.split(text, "\n")).alias("line_idx", "content"))
     rows = rows.where(strip(F.col("content")) != "")
     return with_sizes(
         rows.withColumn(
@@ -333,7 +337,7 @@ def chunk_rows(df: DataFrame, text: str, max_chars: int = CHUNK_CHARS, overlap:
     """One row per chunk, with its index and the number of chunks of its text."""
     rest = [c for c in df.columns if c != text]
     return df.withColumn("_chunks", chunks(F.col(text), max_chars, overlap)).select(
-        *rest, F.size("_chunks").alias("n_chunks"), F.posexplode("_chunks").alias("chunk_idx", "chunk")
+        *rest, F.size("_chunks").alias("n_chunks"), F.posexplode_outer("_chunks").alias("chunk_idx", "chunk")
     )
 
 
@@ -372,7 +376,7 @@ def review_budgets(length: Column, limit: int = REVIEW_CHARS, floor: int = REVIE
 
 def truncations(texts: DataFrame, text: str = "full_text", limit: int = REVIEW_CHARS, floor: int = REVIEW_FLOOR_CHARS) -> DataFrame:
     """The attempts of a single-call review: budget, cut text and whether it was cut."""
-    rows = texts.select("*", F.posexplode(review_budgets(F.length(text), limit, floor)).alias("attempt", "budget"))
+    rows = texts.select("*", F.posexplode_outer(review_budgets(F.length(text), limit, floor)).alias("attempt", "budget"))
     return rows.select(
         "paper_id",
         "attempt",

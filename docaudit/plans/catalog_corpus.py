@@ -383,7 +383,7 @@ WITH w AS (
 SELECT doc_id, (s // 3800)::BIGINT AS part, substring(text, s + 1, 4000) AS piece FROM w""")
 def _(spark, sf):
     d = spread(inputs.table(spark, sf, "documents"))
-    return d.select("doc_id", F.posexplode(segment.windows(F.col("text"))).alias("part", "piece"))
+    return d.select("doc_id", F.posexplode_outer(segment.windows(F.col("text"))).alias("part", "piece"))
 
 
 # sentences (or 2000-character slices of longer ones) packed by a walk over their lengths
