@@ -33,10 +33,6 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
-def one_of(value: Column, allowed: list[str]) -> Column:
-    return value.isin(allowed)
-
-
 def spans(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` with 0-based start and end offsets, in order.
 
@@ -76,13 +72,9 @@ def between(text: Column, start: Column, end: Column) -> Column:
     return F.substring(text, first + 1, F.greatest(end - first, F.lit(0)))
 
 
-def quote_free(text: Column, dropped: str) -> Column:
-    return F.translate(text, dropped, "")
-
-
 def chars_of(text: Column) -> Column:
-    """The set of characters of a text as an array."""
-    return F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")
+    """The different characters of a text, as a text: the set that similarity compares."""
+    return F.regexp_replace(text, r"(?s)(.)(?=.*\1)", "")
 
 
 def compact(text: Column) -> Column:
@@ -98,16 +90,14 @@ def similarity(a: Column, b: Column, a_chars: Column | None = None, b_chars: Col
     """
     a_chars = chars_of(a) if a_chars is None else a_chars
     b_chars = chars_of(b) if b_chars is None else b_chars
-    # both arrays are sets, so the size of the union follows from that of the overlap
-    overlap = F.transform(
-        F.array(F.size(F.array_intersect(a_chars, b_chars))),
-        lambda n: n / (F.size(a_chars) + F.size(b_chars) - n),
-    )[0]
+    n_a, n_b = F.length(a_chars), F.length(b_chars)
+    only_a = F.length(F.call_function("translate", a_chars, b_chars, F.lit("")))
+    # |A and B| / |A or B|, from what is left of A without the characters of B
     return (
         F.when(a == b, F.lit(1.0))
         .when(F.contains(b, a) | F.contains(a, b), F.lit(0.85))
-        .when((F.size(a_chars) == 0) | (F.size(b_chars) == 0), F.lit(0.0))
-        .otherwise(overlap)
+        .when((n_a == 0) | (n_b == 0), F.lit(0.0))
+        .otherwise((n_a - only_a) / (n_b + only_a))
     )
 
 

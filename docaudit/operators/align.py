@@ -61,32 +61,41 @@ def candidate_scores(preds: DataFrame, anns: DataFrame, accept: float = MATCH_AC
     )
 
 
-def _side(df: DataFrame, index: str, name: str) -> DataFrame:
-    item = F.struct(F.col(index).alias("idx"), F.col("error_category").alias("error_category"), F.col("_key").alias("_key"))
-    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(item), _by_idx).alias(name))
+GROUND_TRUTH = {"error_category": "gt_category", "error_location": "gt_location", "error_severity": "gt_severity"}
 
 
-def _by_idx(left: Column, right: Column) -> Column:
-    return F.when(left["idx"] < right["idx"], -1).when(left["idx"] > right["idx"], 1).otherwise(0)
+def _side(df: DataFrame, index: str, name: str, extra: list[str]) -> DataFrame:
+    # the index is unique per document, so sorting the structs sorts by it
+    item = F.struct(F.col(index).alias("idx"), *extra, "_key")
+    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(item)).alias(name))
 
 
 def _fold(preds: DataFrame, anns: DataFrame, accept: float) -> DataFrame:
-    """Greedy pass over each document's predictions; (paper_id, pred_idx, ann_idx, score).
+    """Greedy pass over each document's predictions: pairs with score and the annotation's fields.
 
     Only documents whose two sides both fit FOLD_ROWS arrive here.
     """
-    both = _side(preds, "pred_idx", "_p").join(_side(anns, "ann_idx", "_a"), "paper_id")
-    empty = "cast(array() as array<struct<pred_idx: bigint, ann_idx: bigint, score: double>>)"
+    both = _side(preds, "pred_idx", "_p", ["error_category"]).join(
+        _side(anns, "ann_idx", "_a", list(GROUND_TRUTH)), "paper_id"
+    )
+    fields = "".join(f", {name}: string" for name in GROUND_TRUTH.values())
+    empty = f"cast(array() as array<struct<pred_idx: bigint, ann_idx: bigint, score: double{fields}>>)"
 
     def take(acc: Column, p: Column) -> Column:
         scored = F.transform(
-            acc["free"], lambda a: F.struct(pair_score(p, a).alias("s"), (-a["idx"]).alias("neg_idx"))
+            acc["free"],
+            lambda a, i: F.struct(
+                pair_score(p, a).alias("s"), (-a["idx"]).alias("neg_idx"), i.alias("at")
+            ),
         )
         best = F.array_max(scored)
-        hit = F.coalesce((best["s"] >= accept) & (best["s"] > 0), F.lit(False))
 
         def used(b: Column) -> Column:
-            row = F.struct(p["idx"].alias("pred_idx"), (-b["neg_idx"]).alias("ann_idx"), b["s"].alias("score"))
+            truth = F.get(acc["free"], b["at"])
+            row = F.struct(
+                p["idx"].alias("pred_idx"), (-b["neg_idx"]).alias("ann_idx"), b["s"].alias("score"),
+                *[truth[column].alias(name) for column, name in GROUND_TRUTH.items()],
+            )
             return F.struct(
                 F.filter(acc["free"], lambda a: a["idx"] != -b["neg_idx"]).alias("free"),
                 F.concat(acc["out"], F.array(row)).alias("out"),
@@ -109,7 +118,7 @@ def _fold(preds: DataFrame, anns: DataFrame, accept: float) -> DataFrame:
 
 
 def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT, fold_rows: int | None = None) -> DataFrame:
-    """The greedy matching as (paper_id, pred_idx, ann_idx, score).
+    """The greedy matching as (paper_id, pred_idx, ann_idx, score, gt_*).
 
     A document with n annotations can match only its first n predictions of each
     (location, category) value, since equal predictions have equal choices and the
@@ -119,7 +128,7 @@ def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCE
     value cut to the block size; the result is the same.
     """
     p = with_key(preds.select("paper_id", F.col("pred_idx").cast("bigint"), "error_category", "error_location"))
-    a = with_key(anns.select("paper_id", F.col("ann_idx").cast("bigint"), "error_category", "error_location"))
+    a = with_key(anns.select("paper_id", F.col("ann_idx").cast("bigint"), *GROUND_TRUTH))
     if fold_rows is None and is_small(preds) and is_small(anns):
         return _fold(p, a, accept)
     limit = fold_rows or FOLD_ROWS
@@ -166,15 +175,14 @@ def _block_matches(preds: DataFrame, anns: DataFrame, accept: float, block: int)
 
 def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame:
     """Every prediction as TP or FP and every unmatched annotation as FN."""
-    m = matches.select("paper_id", F.col("pred_idx").cast("bigint"), F.col("ann_idx").cast("bigint"), "score")
+    m = matches.withColumns({c: F.col(c).cast("bigint") for c in ("pred_idx", "ann_idx")})
     gt = anns.select(
         "paper_id",
         F.col("ann_idx").cast("bigint").alias("ann_idx"),
-        F.col("error_category").alias("gt_category"),
-        F.col("error_location").alias("gt_location"),
-        F.col("error_severity").alias("gt_severity"),
+        *[F.col(column).alias(name) for column, name in GROUND_TRUTH.items()],
     )
-    hits = m.join(gt, ["paper_id", "ann_idx"])
+    # the greedy matching brings the annotation's fields along; a judge's pairs are only indices
+    hits = m if "gt_category" in m.columns else m.join(gt, ["paper_id", "ann_idx"])
     p = preds.select(
         "paper_id", F.col("pred_idx").cast("bigint").alias("pred_idx"), "error_category", "error_location"
     ).join(hits, ["paper_id", "pred_idx"], "left")
@@ -257,7 +265,7 @@ def align_judged(preds: DataFrame, anns: DataFrame, judged: DataFrame, accept: f
     answered = judged.where(F.col("matches").isNotNull()).select("paper_id")
     fuzzy = greedy_matches(
         preds.join(answered, "paper_id", "left_anti"), anns.join(answered, "paper_id", "left_anti"), accept
-    )
+    ).select("paper_id", "pred_idx", "ann_idx", "score")
     return outcomes(preds, anns, judged_matches(judged).unionByName(fuzzy))
 
 

@@ -307,7 +307,7 @@ implied(domain, predicate) AS (VALUES
 
 def locations(spark: SparkSession, sf: str) -> DataFrame:
     """Two location strings per order line, in all the formats the parser knows."""
-    li = table(spark, sf, "lineitem")
+    li = spread(table(spark, sf, "lineitem"))
     return li.select(
         *_LINE_ORDER_COLS, "l_orderkey",
         location_text(F.col("l_partkey") % 20).alias("loc_a"),
