@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.constants import FALLBACK_THRESHOLD, THRESHOLDS
-from docaudit.functions.modeljson import parse_object
+from docaudit.functions.modeljson import parse_object, report_candidates
 from docaudit.functions.text import lookup
 from docaudit.operators.ranking import pages, position
-from docaudit.schemas import RAW_ERRORS
+from docaudit.schemas import FINDING, RAW_ERRORS
 
 
 def threshold_for(verifier: Column, strictness: str = "strict", overrides: dict | None = None) -> Column:
@@ -127,3 +127,26 @@ def raw_errors(responses: DataFrame, response: str = "response") -> DataFrame:
         F.substring(F.coalesce("e.supporting_evidence", F.lit("")), 1, 1000).alias("supporting_evidence"),
         F.lit("single_call_baseline").alias("verifier_name"),
     )
+
+
+def reports(outputs: DataFrame, saved: DataFrame | None = None, output: str = "output") -> DataFrame:
+    """Report of each document: the one inside its output text, else its saved report
+    (see ``scan_reports``) if that holds findings, else an empty one with verdict UNKNOWN."""
+    body = F.from_json(
+        F.get(report_candidates(F.col(output)), F.lit(0)), f"struct<verdict: string, predicted_errors: array<{FINDING}>>"
+    )
+    found = outputs.select("paper_id", body.alias("_own"))
+    if saved is None:
+        found = found.withColumn("_saved", F.lit(None).cast(f"struct<verdict: string, predicted_errors: array<{FINDING}>>"))
+    else:
+        kept = saved.where(F.size("predicted_errors") > 0)
+        found = found.join(
+            kept.select("paper_id", F.struct("verdict", "predicted_errors").alias("_saved")), "paper_id", "left"
+        )
+    pick = F.coalesce("_own", "_saved")
+    return found.select(
+        "paper_id",
+        pick.isNotNull().alias("success"),
+        F.coalesce(pick["verdict"], F.lit("UNKNOWN")).alias("verdict"),
+        F.coalesce(pick["predicted_errors"], F.expr(f"cast(array() as array<{FINDING}>)")).alias("predicted_errors"),
+    )

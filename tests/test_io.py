@@ -3,9 +3,8 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from docaudit.operators import profile, scorers
+from docaudit.operators import findings, profile, scorers
 from docaudit.plans import flows
 from docaudit.sources import readers, sinks
 from docaudit.streaming import live
@@ -26,6 +25,16 @@ def test_reports_last_file_wins(spark, tmp_path):
     assert got == {"a": "NEW", "c": "OK"}
 
 
+def test_report_from_text_else_saved(spark):
+    own = 'x\n```json\n{"paper_id": "a", "verdict": "BAD", "predicted_errors": [{"error_category": "x", "confidence": 0.5}]}\n```'
+    outputs = spark.createDataFrame([("a", own), ("b", "nothing"), ("c", "nothing"), ("d", "nothing")], "paper_id string, output string")
+    finding = "struct<error_category: string, error_location: string, confidence: double, supporting_evidence: string, verifier_name: string, snippet_id: string>"
+    saved = spark.createDataFrame([("b", "SAVED", [("y", "Lemma 1", 0.9, "", "text", "s")]), ("c", "EMPTY", [])], f"paper_id string, verdict string, predicted_errors array<{finding}>")
+    got = {r.paper_id: (r.success, r.verdict, len(r.predicted_errors)) for r in findings.reports(outputs, saved).collect()}
+    assert got == {"a": (True, "BAD", 1), "b": (True, "SAVED", 1), "c": (False, "UNKNOWN", 0), "d": (False, "UNKNOWN", 0)}
+    assert {r.verdict for r in findings.reports(outputs).collect()} == {"BAD", "UNKNOWN"}
+
+
 def test_predictions_round_trip(spark, tmp_path):
     rows = [{"paper_id": "p", "title": "t", "predicted_errors": [{"error_category": "x", "error_location": "Lemma 1", "confidence": 0.9}], "total_snippets": 3, "verifier_usage": {"text": 3}}]
     (tmp_path / "predictions.json").write_text(json.dumps(rows))
@@ -128,4 +137,3 @@ def test_report_table(spark):
         spark.createDataFrame([("p", 0, "x", "Lemma 1", "errata", "Math")], "paper_id string, ann_idx long, error_category string, error_location string, error_severity string, paper_category string"),
     )
     assert out["totals"].first().n_matched == 1 and out["worst"].count() == 2 and out["class_report"].count() == 0
-    assert F is not None
