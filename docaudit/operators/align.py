@@ -136,8 +136,14 @@ def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCE
     n_ann = anns.groupBy("paper_id").agg(F.count("*").alias("n_ann"))
     few = n_ann.where(F.col("n_ann") <= limit).select("paper_id")
     first = Window.partitionBy(*value).orderBy("pred_idx")
+    ensure_checkpoint_dir(preds.sparkSession)
+    # read three times below: parsed once, and kept where the loss of an executor does not matter
     cut = (
-        p.join(few, "paper_id", "left_semi").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit).drop("_r")
+        p.join(few, "paper_id", "left_semi")
+        .withColumn("_r", F.row_number().over(first))
+        .where(F.col("_r") <= limit)
+        .drop("_r")
+        .checkpoint()
     )
     n_cut = cut.groupBy("paper_id").agg(F.count("*").alias("n"))
     small = n_cut.where(F.col("n") <= limit).select("paper_id")
@@ -145,6 +151,8 @@ def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCE
     crowded = n_cut.where(F.col("n") > limit).select("paper_id")
     many = n_ann.where(F.col("n_ann") > limit).select("paper_id")
     hard = crowded.unionByName(many)
+    if hard.isEmpty():
+        return easy
     rest = _block_matches(p.join(hard, "paper_id", "left_semi"), a.join(hard, "paper_id", "left_semi"), accept, limit)
     return easy if rest is None else easy.unionByName(rest)
 
