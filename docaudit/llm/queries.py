@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
+from docaudit.llm.tokens import op2_token_counts
 
-QUERIES = {"op3_simhash": op3_simhash}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}
