@@ -63,10 +63,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(texts: pa.Array, blank: np.ndarray = BLANKS, to: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, blank: np.ndarray = BLANKS, to: np.ndarray | None = None, head: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all rows, and how many words each row has.
 
-    A word is a run of bytes that are not ``blank``; ``to`` maps bytes first (lower case).
+    A word is a run of bytes that are not ``blank``; ``to`` maps bytes first (lower case), and
+    only the first ``head`` bytes of a word count, if given.
     Nulls have no words. Eight bytes of all words are taken in per step, so the work is numpy's.
     """
     data, offsets = raw(texts)
@@ -82,7 +83,7 @@ def word_hashes(texts: pa.Array, blank: np.ndarray = BLANKS, to: np.ndarray | No
     ends = np.flatnonzero(before & (~inside | edge))
     counts = np.diff(np.searchsorted(starts, offsets))
     view = np.ndarray((n + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
-    length = ends - starts
+    length = ends - starts if head is None else np.minimum(ends - starts, head)
     out = mix(length.astype(np.uint64) + K3)
     live, at = np.arange(len(starts)), 0
     while len(live):

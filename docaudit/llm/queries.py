@@ -5,6 +5,7 @@ from __future__ import annotations
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
 from docaudit.llm.tokens import op2_token_counts
+from docaudit.llm.toxicity import op7_toxicity
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op9_secrets": op9_secrets}
+QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op7_toxicity": op7_toxicity, "op9_secrets": op9_secrets}
 ORACLES: dict[str, str] = {}

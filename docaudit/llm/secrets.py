@@ -11,10 +11,9 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import documents
+from docaudit.llm.common import documents, stored
 
 # Fixed formats, in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex")
@@ -190,11 +189,11 @@ def labelled_strings(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[st
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["kind", "value"])
 
     found = docs.select(F.col("text").cast("string")).mapInArrow(run, "kind string, value string").distinct()
-    rank = F.row_number().over(W.partitionBy("kind").orderBy(F.xxhash64("value"), "value"))
-    rows = found.withColumn("r", rank).filter(F.col("r") <= sample).orderBy("kind", "r").collect()  # 4 * sample rows at most
+    found = stored(found, "secret-strings")
     out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r["kind"], []).append(r["value"])
+    for kind in (*KINDS, "plain"):
+        least = found.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(sample)
+        out[kind] = [r["value"] for r in least.select("value").collect()]  # ``sample`` short strings at most
     return out
 
 
@@ -202,7 +201,7 @@ class Formats:
     """The learned formats: an automaton per kind of credential against the ordinary model."""
 
     def __init__(self, strings: dict[str, list[str]], margin: float = MARGIN):
-        self.automata = {k: Automaton(map(classes, v)) for k, v in strings.items() if k != "plain"}
+        self.automata = {k: Automaton(map(classes, v)) for k, v in strings.items() if k != "plain" and v}
         self.ordinary = Ordinary(map(classes, strings.get("plain", [])))
         self.margin = margin
 
