@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from docaudit.llm.decontaminate import op6_decontamination
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
 from docaudit.llm.tokens import op2_token_counts
 from docaudit.llm.toxicity import op7_toxicity
 
-QUERIES = {"op2_token_counts": op2_token_counts, "op3_simhash": op3_simhash, "op7_toxicity": op7_toxicity, "op9_secrets": op9_secrets}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_token_counts": op2_token_counts,
+    "op3_simhash": op3_simhash,
+    "op6_decontamination": op6_decontamination,
+    "op7_toxicity": op7_toxicity,
+    "op9_secrets": op9_secrets,
+}
+
+WORDS_6 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+ORACLES: dict[str, str] = {
+    "op6_decontamination": f"""
+WITH d AS (SELECT doc_id, {WORDS_6} AS w FROM documents),
+b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS_6} AS w FROM benchmark) WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i + 1 : i + n], ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM b)),
+dw AS (SELECT doc_id, n, i, array_to_string(w[i + 1 : i + n], ' ') AS win FROM (SELECT *, unnest(range(0, len(w) - n + 1)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+hits AS (SELECT DISTINCT doc_id, i, n, win FROM dw JOIN (SELECT DISTINCT n, win FROM bw) USING (n, win)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS s
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hits JOIN bw USING (n, win)) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(s, sha256('')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)""",
+}
