@@ -5,6 +5,7 @@ from __future__ import annotations
 from docaudit.llm.decontaminate import op6_decontamination
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
+from docaudit.llm.sketches import op10_fingerprints
 from docaudit.llm.tokens import op2_token_counts
 from docaudit.llm.toxicity import op7_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_secrets": op9_secrets,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 WORDS_6 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
