@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import documents, stored
+from docaudit.llm.common import documents, stored, text_key
 
 SPAN = 10  # words of a window
 GRAM = 5  # words of a fingerprinted gram; any SPAN words hold a whole run of SPAN - GRAM + 1 grams
@@ -19,12 +19,6 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, PARTING), "")
 
 
-def text_key(text: Column) -> Column:
-    """Two hashes of a text: rows with equal texts share their hits."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(7), text).alias("b"))
-
-
 def starts(count: Column, width: Column | int) -> Column:
     """0, 1, ... for each run of ``width`` in ``count`` values; empty if there is none."""
     last = count - F.lit(width) if isinstance(width, int) else count - width

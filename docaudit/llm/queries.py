@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from docaudit.llm.decontaminate import op6_decontamination
+from docaudit.llm.mixing import op5_mixing
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
 from docaudit.llm.sketches import op10_fingerprints
@@ -12,10 +14,12 @@ from docaudit.llm.toxicity import op7_toxicity
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
+    "pipeline": corpus_pipeline.run,
 }
 
 WORDS_6 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
