@@ -8,10 +8,12 @@ from docaudit.llm.mixing import op5_mixing
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
 from docaudit.llm.sketches import op10_fingerprints
+from docaudit.llm.substrings import op1_substring_dedup
 from docaudit.llm.tokens import op2_token_counts
 from docaudit.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
     "op5_mixing": op5_mixing,
@@ -24,6 +26,14 @@ QUERIES = {
 
 WORDS_6 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 13], ' ') AS s FROM (SELECT *, unnest(range(0, len(w) - 12)) AS i FROM d)),
+first AS (SELECT s, min(doc_id) AS f FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM win JOIN first USING (s) WHERE doc_id > f)),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS k, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_decontamination": f"""
 WITH d AS (SELECT doc_id, {WORDS_6} AS w FROM documents),
 b AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {WORDS_6} AS w FROM benchmark) WHERE len(w) > 0),
