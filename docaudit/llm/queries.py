@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from docaudit.llm.decontaminate import op6_decontamination
+from docaudit.llm.licenses import op8_licenses
 from docaudit.llm.mixing import op5_mixing
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
+    "op8_licenses": op8_licenses,
     "op9_secrets": op9_secrets,
     "op10_fingerprints": op10_fingerprints,
     "pipeline": corpus_pipeline.run,
