@@ -6,6 +6,7 @@ import corpus_pipeline
 from docaudit.llm.decontaminate import op6_decontamination
 from docaudit.llm.licenses import op8_licenses
 from docaudit.llm.mixing import op5_mixing
+from docaudit.llm.ngrams import op4_lm_scores
 from docaudit.llm.secrets import op9_secrets
 from docaudit.llm.simhash import op3_simhash
 from docaudit.llm.sketches import op10_fingerprints
@@ -17,6 +18,7 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_simhash": op3_simhash,
+    "op4_lm_scores": op4_lm_scores,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_toxicity": op7_toxicity,
