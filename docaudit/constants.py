@@ -74,7 +74,6 @@ TRIAGE_WORDS = ["incorrect", "error", "contradict", "wrong"]
 REVIEW_WORDS = ["incorrect", "wrong", "contradict", "flawed"]
 CITATION_WORDS = ["already", "previously established"]
 CONTRADICTION_WORDS = ["contradiction", "inconsist", "logical"]
-TRIAGE_BODY_CHARS = 2500
 UNCERTAINTY_THRESHOLD = 0.30
 SWEEP_GRID = [0.10, 0.15, 0.20, 0.25, 0.30, 0.35, 0.40, 0.45, 0.50]
 
@@ -91,7 +90,6 @@ CHUNK_CHARS = 2000
 CHUNK_OVERLAP = 200
 REVIEW_CHARS = 60000
 REVIEW_FLOOR_CHARS = 12000
-WHOLE_SECTION_CHARS = 10000
 
 # --- fixed values: location matching ------------------------------------------------
 MATCH_ACCEPT = 0.6

@@ -8,20 +8,18 @@ ann_idx among equals) if that scores at least ``accept``.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections import deque
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.constants import MATCH_ACCEPT, MATCH_CATEGORY_BONUS
 from docaudit.functions.locations import location_score, match_key, with_location
-from docaudit.operators.ranking import pages, position
-from docaudit.session import ensure_checkpoint_dir, is_small
+from docaudit.operators.ranking import pages
 from docaudit.schemas import MATCHES
 
-# Most predictions, and annotations, of one document that one fold handles at a time.
-FOLD_ROWS = 2000
-
 
 def with_key(df: DataFrame, location: str = "error_location") -> DataFrame:
     return with_location(df, location, "_ref").withColumn("_key", match_key(F.col("_ref"))).drop("_ref")
@@ -64,121 +62,86 @@ def candidate_scores(preds: DataFrame, anns: DataFrame, accept: float = MATCH_AC
 GROUND_TRUTH = {"error_category": "gt_category", "error_location": "gt_location", "error_severity": "gt_severity"}
 
 
-def _side(df: DataFrame, index: str, name: str, extra: list[str]) -> DataFrame:
-    # the index is unique per document, so sorting the structs sorts by it
-    item = F.struct(F.col(index).alias("idx"), *extra, "_key")
-    return df.groupBy("paper_id").agg(F.array_sort(F.collect_list(item)).alias(name))
+def _value() -> Column:
+    """A row's (location, category) as text; nulls stay apart from empty texts."""
+    return F.to_json(F.struct("error_location", "error_category"), {"ignoreNullFields": "false"})
 
 
-def _fold(preds: DataFrame, anns: DataFrame, accept: float) -> DataFrame:
-    """Greedy pass over each document's predictions: pairs with score and the annotation's fields.
+class _Document:
+    """Serves one document: each prediction takes the first free annotation of its best value.
 
-    Only documents whose two sides both fit FOLD_ROWS arrive here.
+    Annotations of one value score alike, so a value is a queue; a prediction looks at the heads of the
+    queues it may use, best score first, and among equal scores takes the least head.
     """
-    both = _side(preds, "pred_idx", "_p", ["error_category"]).join(
-        _side(anns, "ann_idx", "_a", list(GROUND_TRUTH)), "paper_id"
-    )
-    fields = "".join(f", {name}: string" for name in GROUND_TRUTH.values())
-    empty = f"cast(array() as array<struct<pred_idx: bigint, ann_idx: bigint, score: double{fields}>>)"
-
-    def take(acc: Column, p: Column) -> Column:
-        scored = F.transform(
-            acc["free"],
-            lambda a, i: F.struct(
-                pair_score(p, a).alias("s"), (-a["idx"]).alias("neg_idx"), i.alias("at")
-            ),
-        )
-        best = F.array_max(scored)
-
-        def used(b: Column) -> Column:
-            truth = F.get(acc["free"], b["at"])
-            row = F.struct(
-                p["idx"].alias("pred_idx"), (-b["neg_idx"]).alias("ann_idx"), b["s"].alias("score"),
-                *[truth[column].alias(name) for column, name in GROUND_TRUTH.items()],
-            )
-            return F.struct(
-                F.filter(acc["free"], lambda a: a["idx"] != -b["neg_idx"]).alias("free"),
-                F.concat(acc["out"], F.array(row)).alias("out"),
-            )
-
-        # binding the best candidate once keeps the scoring from being repeated
-        return F.transform(
-            F.array(best),
-            lambda b: F.when(F.coalesce(b["s"] >= accept, F.lit(False)) & (b["s"] > 0), used(b)).otherwise(acc),
-        )[0]
-
-    folded = F.aggregate(
-        "_p",
-        F.struct(F.col("_a").alias("free"), F.expr(empty).alias("out")),
-        take,
-        lambda acc: acc["out"],
-    )
-    # outer, since an inner one would test the folded array first, by folding twice
-    return both.select("paper_id", F.inline_outer(folded)).where(F.col("pred_idx").isNotNull())
-
 
-def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT, fold_rows: int | None = None) -> DataFrame:
-    """The greedy matching as (paper_id, pred_idx, ann_idx, score, gt_*).
-
-    A document with n annotations can match only its first n predictions of each
-    (location, category) value, since equal predictions have equal choices and the
-    choices only shrink. So predictions are first cut to that prefix, by a group limit
-    that runs before the shuffle; this loses no match. Documents that are still larger
-    than one fold go through it in blocks of predictions, the free annotations of each
-    value cut to the block size; the result is the same.
+    def __init__(self) -> None:
+        self.free: dict[str, deque[int]] = {}
+        self.choices: dict[str, list[tuple[float, str]]] = {}
+
+    def annotate(self, value: str, idx: int) -> None:
+        self.free.setdefault(value, deque()).append(idx)
+
+    def allow(self, value: str, other: str, score: float) -> None:
+        self.choices.setdefault(value, []).append((-score, other))
+
+    def serve(self, value: str) -> tuple[int, float] | None:
+        listed = sorted(c for c in self.choices.get(value, ()) if self.free.get(c[1]))
+        self.choices[value] = listed  # used up values never come back
+        if not listed:
+            return None
+        best = min((other for score, other in listed if score == listed[0][0]), key=lambda other: self.free[other][0])
+        return self.free[best].popleft(), -listed[0][0]
+
+
+def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of document, then annotations, choices, predictions; one document is held at a time."""
+    paper, document = None, _Document()
+    for b in batches:
+        out = []
+        for key, kind, idx, value, other, score in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != paper:
+                paper, document = key, _Document()
+            if kind == 0:
+                document.annotate(value, idx)
+            elif kind == 1:
+                document.allow(value, other, score)
+            elif found := document.serve(value):
+                out.append((key, idx, *found))
+        columns = [[r[i] for r in out] for i in range(4)]
+        types = [b.schema.field("paper_id").type, pa.int64(), pa.int64(), pa.float64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["paper_id", "pred_idx", "ann_idx", "score"])
+
+
+def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT) -> DataFrame:
+    """The greedy matching as (paper_id, pred_idx, ann_idx, score).
+
+    Scores are computed once for each pair of distinct values of a document, by all tasks. A document
+    with n annotations can match only its first n predictions of each value, since equal predictions
+    have equal choices and the choices only shrink: predictions are cut to these before anything
+    else, by a group limit that runs ahead of the shuffle, so a task holds a
+    document's annotations and value scores while its predictions pass in order, which is the
+    meaning of the greedy matching.
     """
-    p = with_key(preds.select("paper_id", F.col("pred_idx").cast("bigint"), "error_category", "error_location"))
-    a = with_key(anns.select("paper_id", F.col("ann_idx").cast("bigint"), *GROUND_TRUTH))
-    if fold_rows is None and is_small(preds) and is_small(anns):
-        return _fold(p, a, accept)
-    limit = fold_rows or FOLD_ROWS
-    value = ["paper_id", "error_location", "error_category"]
-    n_ann = anns.groupBy("paper_id").agg(F.count("*").alias("n_ann"))
-    few = n_ann.where(F.col("n_ann") <= limit).select("paper_id")
-    first = Window.partitionBy(*value).orderBy("pred_idx")
-    ensure_checkpoint_dir(preds.sparkSession)
-    # read three times below: parsed once, and kept where the loss of an executor does not matter
-    cut = (
-        p.join(few, "paper_id", "left_semi")
-        .withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= limit)
-        .drop("_r")
-        .checkpoint()
+    p = preds.select("paper_id", F.col("pred_idx").cast("bigint").alias("idx"), _value().alias("value"))
+    a = anns.select("paper_id", F.col("ann_idx").cast("bigint").alias("idx"), _value().alias("value"))
+
+    def named(location: str, category: str) -> Column:
+        return F.to_json(F.struct(F.col(location).alias("error_location"), F.col(category).alias("error_category")), {"ignoreNullFields": "false"})
+
+    scores = candidate_scores(preds, anns, accept).where(F.col("score") > 0)
+    scores = scores.select("paper_id", named("predicted_location", "predicted_category").alias("value"), named("annotated_location", "annotated_category").alias("other"), "score")
+    n_anns = anns.groupBy("paper_id").agg(F.count("*").alias("n_anns"))
+    first = Window.partitionBy("paper_id", "value").orderBy("idx")
+    cut = p.join(n_anns, "paper_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= F.col("n_anns"))
+    no_score, no_text, no_idx = F.lit(None).cast("double"), F.lit(None).cast("string"), F.lit(None).cast("bigint")
+    rows = (
+        a.select("paper_id", F.lit(0).alias("kind"), "idx", "value", no_text.alias("other"), no_score.alias("score"))
+        .unionByName(scores.select("paper_id", F.lit(1).alias("kind"), no_idx.alias("idx"), "value", "other", "score"))
+        .unionByName(cut.select("paper_id", F.lit(2).alias("kind"), "idx", "value", no_text.alias("other"), no_score.alias("score")))
     )
-    n_cut = cut.groupBy("paper_id").agg(F.count("*").alias("n"))
-    small = n_cut.where(F.col("n") <= limit).select("paper_id")
-    easy = _fold(cut.join(small, "paper_id", "left_semi"), a.join(small, "paper_id", "left_semi"), accept)
-    crowded = n_cut.where(F.col("n") > limit).select("paper_id")
-    many = n_ann.where(F.col("n_ann") > limit).select("paper_id")
-    hard = crowded.unionByName(many)
-    if hard.isEmpty():
-        return easy
-    rest = _block_matches(p.join(hard, "paper_id", "left_semi"), a.join(hard, "paper_id", "left_semi"), accept, limit)
-    return easy if rest is None else easy.unionByName(rest)
-
-
-def _block_matches(preds: DataFrame, anns: DataFrame, accept: float, block: int) -> DataFrame | None:
-    """Blocks of predictions in turn, for the few documents too large for one fold.
-
-    Each block meets the free annotations left by the blocks before it. A value's
-    annotations are used in order, so its first ``block`` free ones are enough.
-    """
-    ensure_checkpoint_dir(preds.sparkSession)
-    placed = position(preds, ["paper_id"], [F.col("pred_idx")], "_place").withColumn(
-        "_block", F.floor(F.col("_place") / block)
-    ).checkpoint()
-    last = placed.agg(F.max("_block")).first()[0]
-    if last is None:
-        return None
-    done: list[DataFrame] = []
-    order = Window.partitionBy("paper_id", "error_location", "error_category").orderBy("ann_idx")
-    for b in range(int(last) + 1):
-        free = anns
-        if done:
-            free = anns.join(reduce(DataFrame.unionByName, done).select("paper_id", "ann_idx"), ["paper_id", "ann_idx"], "left_anti")
-        heads = free.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= block).drop("_r")
-        done.append(_fold(placed.where(F.col("_block") == b).drop("_place", "_block"), heads, accept).checkpoint())
-    return reduce(DataFrame.unionByName, done)
+    ordered = rows.where(F.col("paper_id").isNotNull()).repartition("paper_id").sortWithinPartitions("paper_id", "kind", "idx")
+    kind = anns.schema["paper_id"].dataType.simpleString()
+    return ordered.mapInArrow(_served, f"paper_id {kind}, pred_idx bigint, ann_idx bigint, score double")
 
 
 def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame:
@@ -189,8 +152,7 @@ def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame
         F.col("ann_idx").cast("bigint").alias("ann_idx"),
         *[F.col(column).alias(name) for column, name in GROUND_TRUTH.items()],
     )
-    # the greedy matching brings the annotation's fields along; a judge's pairs are only indices
-    hits = m if "gt_category" in m.columns else m.join(gt, ["paper_id", "ann_idx"])
+    hits = m.join(gt, ["paper_id", "ann_idx"])
     p = preds.select(
         "paper_id", F.col("pred_idx").cast("bigint").alias("pred_idx"), "error_category", "error_location"
     ).join(hits, ["paper_id", "pred_idx"], "left")
@@ -214,12 +176,11 @@ def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame
     return served.unionByName(missed)
 
 
-def align(preds: DataFrame, anns: DataFrame, category: str | None = None, accept: float = MATCH_ACCEPT,
-          fold_rows: int | None = None) -> DataFrame:
+def align(preds: DataFrame, anns: DataFrame, category: str | None = None, accept: float = MATCH_ACCEPT) -> DataFrame:
     """Outcomes of the fuzzy matching, optionally for one error category."""
     if category is not None:
         preds, anns = only_category(preds, category), only_category(anns, category)
-    return outcomes(preds, anns, greedy_matches(preds, anns, accept, fold_rows))
+    return outcomes(preds, anns, greedy_matches(preds, anns, accept))
 
 
 def only_category(df: DataFrame, category: str) -> DataFrame:
@@ -273,7 +234,7 @@ def align_judged(preds: DataFrame, anns: DataFrame, judged: DataFrame, accept: f
     answered = judged.where(F.col("matches").isNotNull()).select("paper_id")
     fuzzy = greedy_matches(
         preds.join(answered, "paper_id", "left_anti"), anns.join(answered, "paper_id", "left_anti"), accept
-    ).select("paper_id", "pred_idx", "ann_idx", "score")
+    )
     return outcomes(preds, anns, judged_matches(judged).unionByName(fuzzy))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.constants import (
@@ -107,18 +107,11 @@ def check_units(claims: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def claim_verdicts(checks: DataFrame, key: str = "snippet_id", order: str = "claim_idx") -> DataFrame:
-    """One verdict per snippet: no evaluable claim, any failure (first three named), or consistent."""
+    """One verdict per snippet: no evaluable claim, any failure (all named), or consistent."""
     counts = checks.groupBy(key).agg(
         F.count("passed").alias("n_evaluable"), F.count_if(~F.col("passed")).alias("n_failed")
     )
-    first = Window.partitionBy(key).orderBy(order)
-    failed = (
-        checks.where(~F.col("passed"))
-        .withColumn("_r", F.row_number().over(first))
-        .where(F.col("_r") <= 3)
-        .groupBy(key)
-        .agg(F.array_sort(F.collect_list(F.struct("_r", "description"))).alias("_d"))
-    )
+    failed = checks.where(~F.col("passed")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "description"))).alias("_d"))
     bad, none = F.col("n_failed") > 0, F.col("n_evaluable") == 0
     return counts.join(failed, key, "left").select(
         key,

@@ -25,10 +25,10 @@ NO_STRINGS = "cast(array() as array<string>)"
 LAYERS = ["symbolic", "dimensional", "side_condition", "numeric"]
 
 
-def order_index(statements: DataFrame, seen: str = "pos", hot_rows: int | None = None) -> DataFrame:
+def order_index(statements: DataFrame, seen: str = "pos") -> DataFrame:
     """Index of each snippet in its document by first appearance."""
     first = statements.groupBy("paper_id", "snippet_id").agg(F.min(seen).alias("_seen"))
-    return position(first, ["paper_id"], [F.col("_seen"), F.col("snippet_id")], "order_idx", hot_rows).drop("_seen")
+    return position(first, ["paper_id"], [F.col("_seen"), F.col("snippet_id")], "order_idx").drop("_seen")
 
 
 def merge_declarations(declarations: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def symbol_sources(merged: DataFrame) -> DataFrame:
     return merged.select("paper_id", "symbol", "source_snippet")
 
 
-def transitive_dependencies(edges: DataFrame, max_depth: int = 10_000) -> DataFrame:
+def transitive_dependencies(edges: DataFrame) -> DataFrame:
     """All snippets reachable from each snippet, itself excluded; cycles end by themselves.
 
     Each round extends only the pairs found in the round before, drops pairs known
@@ -138,7 +138,7 @@ def transitive_dependencies(edges: DataFrame, max_depth: int = 10_000) -> DataFr
     step = edges.select("paper_id", F.col("from_snippet").alias("a"), F.col("to_snippet").alias("b")).distinct().checkpoint()
     found = [step]
     fresh = step
-    for _ in range(max_depth):
+    while True:
         longer = (
             fresh.join(step.select("paper_id", F.col("a").alias("b"), F.col("b").alias("c")), ["paper_id", "b"])
             .select("paper_id", "a", F.col("c").alias("b"))

@@ -13,7 +13,6 @@ from docaudit.constants import (
     BRACKET_CITATION, CONTENT_TYPES, DISPLAY_EQUATION, DOMAIN_PATTERNS, EQUATION_LABEL,
     FIGURE_CAPTION, HEADER_LINE, INLINE_EQUATION, MARKDOWN_TABLE, NAME_CITATION, PROOF_BLOCK,
     REFERENCE_TAGS, SEPARATOR_ROW, STATEMENT_END, STEP_MATH, TABLE_CAPTION, THEOREM_HEAD,
-    WHOLE_SECTION_CHARS,
 )
 from docaudit.functions.text import between, blank_to_null, head, spans, strip, tail
 
@@ -31,7 +30,7 @@ def items(corpus: DataFrame) -> DataFrame:
 
 
 def joined_text(content: Column) -> Column:
-    texts = F.filter(F.transform(content, lambda x: x["text"]), lambda t: t.isNotNull() & (t != ""))
+    texts = F.filter(content["text"], lambda t: t.isNotNull() & (t != ""))  # the field alone is read, no image
     return F.array_join(texts, "\n")
 
 
@@ -62,16 +61,28 @@ def _element(family: str, idx: Column, hit: Column, start: Column, end: Column,
 
 
 def section_elements(text: Column) -> Column:
-    """Headers, each with the start of the next one; one element for a text without headers."""
+    """Headers, each with the start of the next one; one element for a text without headers.
+
+    What stands before the first header, if not blank, is a section of its own, with the length of
+    its text as the start of the next header and no text of its own as its header.
+    """
 
     def each(found: Column) -> Column:
+        opening = F.get(found, F.lit(0))["start_pos"]
+        none = F.struct(F.lit("").alias("hit"), F.lit(0).alias("start_pos"), F.lit(0).alias("end_pos"))
+        before = F.when(strip(F.substring(text, F.lit(1), opening)) != "", F.array(none))
+        plain = F.transform(found, lambda s: F.struct(s["hit"].alias("hit"), s["start_pos"].cast("int").alias("start_pos"), s["end_pos"].cast("int").alias("end_pos")))
+        headed = F.concat(F.coalesce(before, F.slice(F.array(none), 1, 0)), plain)
         return F.transform(
-            found,
-            lambda s, i: _element(
-                "section", i, s["hit"], s["start_pos"], s["end_pos"],
-                F.coalesce(F.get(found, i + 1)["start_pos"], F.length(text)), F.lit(False),
+            F.array(headed),
+            lambda all_: F.transform(
+                all_,
+                lambda s, i: _element(
+                    "section", i, s["hit"], s["start_pos"], s["end_pos"],
+                    F.coalesce(F.get(all_, i + 1)["start_pos"], F.length(text)), F.lit(False),
+                ),
             ),
-        )
+        )[0]
 
     whole = F.array(_element("section", F.lit(0), F.lit(""), F.lit(0), F.lit(0), F.length(text), F.lit(True)))
     return F.transform(
@@ -163,10 +174,11 @@ def section_columns() -> dict[str, Column]:
     return {
         "section_idx": _at("idx"),
         "section_title": F.when(whole, F.lit("Full Paper"))
+        .when(_at("hit") == "", F.lit("Preamble"))
         .when(number != "", F.concat(number, F.lit(". "), title))
         .otherwise(title),
-        "section_level": F.when(whole, F.lit(1)).otherwise(F.length(F.regexp_extract(_at("hit"), HEADER_LINE, 1))),
-        "content": F.when(whole, head(text, WHOLE_SECTION_CHARS)).otherwise(
+        "section_level": F.when(whole | (_at("hit") == ""), F.lit(1)).otherwise(F.length(F.regexp_extract(_at("hit"), HEADER_LINE, 1))),
+        "content": F.when(whole, text).otherwise(
             strip(between(text, _at("end_pos"), _at("next_pos")))
         ),
         "start_index": _at("end_pos"),

@@ -49,9 +49,9 @@ def findings(results: DataFrame, strictness: str = "strict", overrides: dict | N
     )
 
 
-def ranked(found: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def ranked(found: DataFrame) -> DataFrame:
     """Add pred_idx: position in the document by falling confidence, then by order."""
-    return position(found, ["paper_id"], [-F.col("confidence"), F.col("order_key")], "pred_idx", hot_rows)
+    return position(found, ["paper_id"], [-F.col("confidence"), F.col("order_key")], "pred_idx")
 
 
 def finding_pages(ranked_findings: DataFrame, size: int = 1000) -> DataFrame:
@@ -124,7 +124,7 @@ def raw_errors(responses: DataFrame, response: str = "response") -> DataFrame:
         or_unknown(F.col("e.error_category")).alias("error_category"),
         or_unknown(F.col("e.error_location")).alias("error_location"),
         F.coalesce(F.col("e.confidence").try_cast("double"), F.lit(0.0)).alias("confidence"),
-        F.substring(F.coalesce("e.supporting_evidence", F.lit("")), 1, 1000).alias("supporting_evidence"),
+        F.coalesce("e.supporting_evidence", F.lit("")).alias("supporting_evidence"),
         F.lit("single_call_baseline").alias("verifier_name"),
     )
 

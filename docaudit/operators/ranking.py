@@ -5,89 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docaudit.session import is_small
+from docaudit.session import stored
 
-HOT_ROWS = 5_000_000
-HOT_SHARE = 1000
-SPLITS = 256
 
-
-def hot_groups(df: DataFrame, keys: list[str], hot_rows: int | None = None) -> DataFrame:
-    """Groups above ``hot_rows`` rows, by default 5M or a thousandth of the input,
-    whichever is more. So there are at most HOT_SHARE of them: safe to broadcast."""
-    if hot_rows is None:
-        hot_rows = max(HOT_ROWS, df.count() // HOT_SHARE)
-    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows)
-
-
-def position(
-    df: DataFrame,
-    keys: list[str],
-    order: list[Column],
-    name: str,
-    hot_rows: int | None = None,
-) -> DataFrame:
+def position(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
     """Add the 0-based position of each row in its group under ``order`` (a total order,
     written ascending: negate a number for descending).
 
-    A plain window sorts each group inside one task. That is kept for input too small
-    to hold a big group. Otherwise groups above ``hot_rows`` are cut at sampled values
-    of the order key, every piece is ranked on its own, and the sizes of the pieces
-    before it are added: same result, no task sees a whole hot group.
+    Rows are dealt out in ranges of (keys, order) and saved with the number of their range, so
+    the input is computed once. A row's position is its place in its group's part of the range,
+    and what the group has in the ranges before. No task sees more of a group than one range.
     """
-    if hot_rows is None and is_small(df):
-        return df.withColumn(
-            name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint") - 1
-        )
-    df = df.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    hot = hot_groups(df, keys, hot_rows).persist()
-    cuts = _cut_points(df, keys, hot)
-    hot.unpersist()
-    if cuts is None:
-        piece = df.withColumn("_piece", F.lit(0))
-    else:
-        # the cut list is bounded: about SPLITS values for each of at most HOT_SHARE groups
-        piece = (
-            df.join(F.broadcast(cuts), keys, "left")
-            .withColumn(
-                "_piece",
-                F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_ord"))), F.lit(0)),
-            )
-            .drop("_cuts")
-        )
+    ordered = df.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    ordered = stored(ordered.repartitionByRange(*keys, "_ord").withColumn("_piece", F.spark_partition_id()), "ranges")
     within = Window.partitionBy(*keys, "_piece").orderBy("_ord")
-    ranked = piece.withColumn(name, F.row_number().over(within).cast("bigint") - 1)
-    if cuts is not None:
-        sizes = piece.join(F.broadcast(cuts.select(*keys)), keys, "left_semi").groupBy(*keys, "_piece").agg(
-            F.count("*").alias("_n")
-        )
-        before = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-        ranked = (
-            ranked.join(F.broadcast(offsets), [*keys, "_piece"], "left")
-            .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
-            .drop("_before")
-        )
-    return ranked.drop("_ord", "_piece")
-
-
-def _cut_points(df: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame | None:
-    """Per hot group an array of order values that splits it into about SPLITS pieces."""
-    rows = hot.agg(F.count("*"), F.sum("_n")).first()
-    if not rows[0]:
-        return None
-    fraction = min(1.0, SPLITS * 20.0 * rows[0] / rows[1])
-    hot_rows_df = df.join(F.broadcast(hot.select(*keys)), keys, "left_semi")
-    sample = hot_rows_df.sample(fraction=fraction, seed=7).select(*keys, "_ord")
-    picked = sample.groupBy(*keys).agg(F.array_sort(F.collect_set("_ord")).alias("_all"))
-    every = F.greatest(F.floor(F.size("_all") / SPLITS).cast("int"), F.lit(1))
-    cuts = picked.select(
-        *keys,
-        F.filter("_all", lambda v, i: (i % every) == 0).alias("_cuts"),
-    )
-    # cut values become literals: the same split is then used wherever the plan is read again
-    spark = df.sparkSession
-    return spark.createDataFrame(cuts.collect(), cuts.schema)
+    ranked = ordered.withColumn("_place", F.row_number().over(within).cast("bigint") - 1)
+    sizes = ordered.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") > 0)
+    before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), "_before")
+    same = F.col("_piece") == F.col("_p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    placed = ranked.join(before, same, "left").withColumn(name, F.col("_place") + F.coalesce("_before", F.lit(0)))
+    return placed.select(*df.columns, name)
 
 
 def pages(df: DataFrame, keys: list[str], index: str, item: Column, name: str, size: int = 1000) -> DataFrame:

@@ -6,15 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.constants import (
-    SWEEP_GRID, THEOREM_TYPES, TRIAGE_BODY_CHARS, TRIAGE_WORDS, UNCERTAINTY_THRESHOLD, VISUAL_TYPES,
+    SWEEP_GRID, THEOREM_TYPES, TRIAGE_WORDS, UNCERTAINTY_THRESHOLD, VISUAL_TYPES,
 )
-from docaudit.functions.text import contains_any, head, strip
+from docaudit.functions.text import contains_any, strip
 from docaudit.operators import routing
 
 
 def rule_score(df: DataFrame) -> DataFrame:
     """Deterministic scorer: adds uncertainty and suggested_route."""
-    body = F.lower(head(F.coalesce(F.when(F.col("latex") != "", F.col("latex")), F.col("content")), TRIAGE_BODY_CHARS))
+    body = F.lower(F.coalesce(F.when(F.col("latex") != "", F.col("latex")), F.col("content")))
     verdict = (
         F.when(F.col("snippet_type") == "EQUATION", F.struct(F.lit(0.72).alias("u"), F.lit("math").alias("r")))
         .when(contains_any(body, TRIAGE_WORDS), F.struct(F.lit(0.65).alias("u"), F.lit("text").alias("r")))

@@ -10,7 +10,6 @@ from docaudit.operators import extract, profile, segment
 from docaudit.plans import inputs
 from docaudit.plans.inputs import CORPUS_SQL, LINES_SQL, LOCATIONS_SQL, WS
 from docaudit.plans.registry import query
-from docaudit.session import spread
 
 NL = "chr(10)"
 
@@ -271,7 +270,7 @@ SELECT doc_id, (CASE WHEN c > 0 THEN c ELSE 0 END / (length(x) / 500.0)) >= 3 AS
  SELECT doc_id, x, len(regexp_extract_all(x, '\\[\\d+(?:,\\s*\\d+)*\\]')) + len(regexp_extract_all(x, '\\([A-Z][a-z]+\\s*(?:et al\\.?)?\\s*,\\s*\\d{4}[a-z]?\\)')) AS c
  FROM (SELECT doc_id, text || repeat(' see [1, 2] and (Smith et al., 2020)', (doc_id % 9)::INT) AS x FROM documents))""")
 def _(spark, sf):
-    d = spread(inputs.table(spark, sf, "documents"))
+    d = inputs.table(spark, sf, "documents")
     x = F.concat("text", F.repeat(F.lit(" see [1, 2] and (Smith et al., 2020)"), (F.col("doc_id") % 9).cast("int")))
     return d.select("doc_id", extract.citation_heavy(x).alias("is_heavy"))
 
@@ -382,7 +381,7 @@ WITH w AS (
  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE length(text) <= 4000)
 SELECT doc_id, (s // 3800)::BIGINT AS part, substring(text, s + 1, 4000) AS piece FROM w""")
 def _(spark, sf):
-    d = spread(inputs.table(spark, sf, "documents"))
+    d = inputs.table(spark, sf, "documents")
     return d.select("doc_id", F.posexplode_outer(segment.windows(F.col("text"))).alias("part", "piece"))
 
 
@@ -408,7 +407,7 @@ lapped AS (
  UNION ALL SELECT doc_id, 0, t FROM body WHERE length(t) <= 2000)
 SELECT doc_id, (count(*) OVER (PARTITION BY doc_id))::BIGINT AS n_chunks, chunk_idx::BIGINT AS chunk_idx, chunk FROM lapped""")
 def _(spark, sf):
-    d = spread(inputs.table(spark, sf, "documents").select("doc_id", "text"))
+    d = inputs.table(spark, sf, "documents").select("doc_id", "text")
     return segment.chunk_rows(d, "text")
 
 
@@ -420,7 +419,7 @@ SELECT doc_id || '_step_' || i AS snippet_id, 'Step ' || i AS location, md5(c) A
   || array_to_string(list_transform(s[1:i], lambda v, j: 'Step ' || (j - 1) || ': ' || v), chr(10) || chr(10)) || CASE WHEN i > 0 THEN chr(10) || chr(10) ELSE '' END
   || 'Current step ' || i || ': ' || s[i + 1] AS c FROM x)""")
 def _(spark, sf):
-    d = spread(inputs.table(spark, sf, "documents"))
+    d = inputs.table(spark, sf, "documents")
     cases = d.select(F.col("doc_id").alias("id"), F.col("source").alias("problem"), F.split("text", "\n").alias("steps"))
     s = segment.step_snippets(cases)
     return s.select(

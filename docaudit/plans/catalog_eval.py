@@ -117,7 +117,7 @@ w AS (
 
 
 def _judged(spark, sf):
-    d = inputs.spread(inputs.table(spark, sf, "documents"))
+    d = inputs.table(spark, sf, "documents")
     answer = F.to_json(
         F.transform(
             F.split("text", "\n"),

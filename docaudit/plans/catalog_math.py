@@ -9,7 +9,6 @@ from docaudit.operators import claims, context
 from docaudit.plans import inputs
 from docaudit.plans.inputs import SYMBOLS_SQL
 from docaudit.plans.registry import query
-from docaudit.session import spread
 
 # --- claims -----------------------------------------------------------------------------------
 
@@ -50,7 +49,7 @@ def _(spark, sf):
 
 @query("claim_verdicts", f"""
 WITH {CLAIMS_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY snippet_id ORDER BY claim_idx, l_partkey, l_suppkey) AS r FROM ck WHERE passed = false),
-c AS (SELECT snippet_id, count(passed) AS n, count(*) FILTER (passed = false) AS b FROM ck GROUP BY 1), d AS (SELECT snippet_id, string_agg(description, '; ' ORDER BY r) AS t FROM f WHERE r <= 3 GROUP BY 1)
+c AS (SELECT snippet_id, count(passed) AS n, count(*) FILTER (passed = false) AS b FROM ck GROUP BY 1), d AS (SELECT snippet_id, string_agg(description, '; ' ORDER BY r) AS t FROM f GROUP BY 1)
 SELECT snippet_id, n::BIGINT AS n_evaluable, b::BIGINT AS n_failed, CASE WHEN n = 0 THEN 'UNVERIFIABLE' WHEN b > 0 THEN 'INVALID' ELSE 'VALID' END AS status, b > 0 AS error_detected,
  CASE WHEN n = 0 THEN 0.0::DOUBLE WHEN b > 0 THEN 0.9::DOUBLE ELSE 0.85::DOUBLE END AS confidence, CASE WHEN b > 0 THEN 'Statistical reporting' END AS predicted_error_category, t AS failed_claims FROM c LEFT JOIN d USING (snippet_id)""")
 def _(spark, sf):
@@ -64,7 +63,7 @@ SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_partkey, l_suppkey,
  round(CASE l_linenumber WHEN 1 THEN (l_quantity + l_tax) * 2 WHEN 2 THEN sqrt(l_quantity) WHEN 3 THEN (l_quantity + l_tax + 3) / 3 WHEN 4 THEN CASE WHEN l_tax <> 0 THEN l_quantity / l_tax END WHEN 5 THEN NULL WHEN 6 THEN pow(l_quantity, 2) ELSE log10(l_quantity) + floor(l_tax) END, 6) AS computed
 FROM lineitem""")
 def _(spark, sf):
-    li = spread(inputs.table(spark, sf, "lineitem"))
+    li = inputs.table(spark, sf, "lineitem")
     q, t = F.col("l_quantity").cast("string"), F.col("l_tax").cast("string")
     n = F.col("l_linenumber")
     expr = (
@@ -112,7 +111,7 @@ rs AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, coun
 
 
 def _residuals(spark, sf):
-    li = spread(inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_tax"))
+    li = inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_tax")
     q, t, flag = F.col("l_quantity"), F.col("l_tax"), F.col("l_returnflag")
 
     def residual(x, y):
@@ -155,7 +154,7 @@ e AS (SELECT event_id, regexp_extract(props, '[0-9]+')::INT AS k FROM events),
 v AS (SELECT event_id, CASE WHEN k % 3 = 0 THEN 0.0 WHEN k % 3 = 1 THEN abs(2 * x * y) ELSE abs(k * x - k) END AS m FROM e CROSS JOIN pts)
 SELECT event_id, count(*)::BIGINT AS n_evaluated, round(count(*) FILTER (m > 1e-9) / count(*), 6) AS nonzero_fraction, round(CASE WHEN max(m) < 1e-9 THEN 0 ELSE max(m) END, 6) AS max_abs FROM v GROUP BY 1""")
 def _(spark, sf):
-    e = spread(inputs.table(spark, sf, "events"))
+    e = inputs.table(spark, sf, "events")
     k = F.get_json_object("props", "$.k").cast("int")
     d = e.select(
         "event_id",

@@ -1,7 +1,8 @@
 """The end-to-end jobs: exhaustive and triaged checking, evaluation, step cases.
 
-Every flow is lazy and returns DataFrames; the only shuffle keys are paper_id and
-snippet_id.
+Flows return DataFrames; the only shuffle keys are paper_id and snippet_id. What several of
+their tables build on, snippets, results and aligned rows, is written to the shared folder
+once while the flow is set up.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from docaudit.constants import UNCERTAINTY_THRESHOLD
 from docaudit.operators import align, findings, metrics, routing, scorers, segment, triage
-from docaudit.session import ensure_checkpoint_dir
+from docaudit.session import stored
 
 RESULT = [
     "paper_id", "snippet_id", "order_key", "location", "verifier_name", "status",
@@ -75,6 +76,7 @@ def evaluate(predicted: DataFrame, annotations: DataFrame, category: str | None
         aligned = align.align(predicted, annotations)
     else:
         aligned = align.align_judged(predicted, annotations, judged)
+    aligned = stored(aligned, "aligned")
     categories = metrics.paper_categories(annotations) if "paper_category" in annotations.columns else None
     table = metrics.breakdown(aligned, categories)
     labels = metrics.aligned_labels(aligned)
@@ -113,20 +115,20 @@ def report(profile: DataFrame, totals: DataFrame, usage: DataFrame, table: DataF
 
 
 def verify_corpus(corpus: DataFrame, mode: str = "exhaustive", strictness: str = "strict", **options) -> dict[str, DataFrame]:
-    """A whole corpus: one row per document in, results, findings and roll-up out.
+    """A whole corpus: results, findings and roll-up of each document.
 
-    Snippets are written once to the checkpoint folder: later steps read them from
-    there instead of parsing the corpus again, also after the loss of an executor.
+    The corpus has a row per annotation; its documents are segmented once each. Snippets and results
+    are written, so the corpus is parsed and scored once, also after the loss of an executor.
     """
-    ensure_checkpoint_dir(corpus.sparkSession)
-    snippets = segment.segment(corpus).checkpoint()
+    papers = corpus.select("paper_id", "title", "paper_category", "paper_content").dropDuplicates(["paper_id"])
+    snippets = stored(segment.segment(papers), "snippets")
     run = {"exhaustive": exhaustive, "uncertainty": triaged}[mode]
-    results = run(snippets, **options)
+    results = stored(run(snippets, **options), "results")
     return {
         "snippets": snippets,
         "results": results,
         "findings": findings.ranked(findings.findings(results, strictness)),
-        "predictions": predictions(corpus.select("paper_id", "title", "paper_category"), results, strictness),
+        "predictions": predictions(papers.select("paper_id", "title", "paper_category"), results, strictness),
     }
 
 

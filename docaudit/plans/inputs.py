@@ -13,7 +13,6 @@ from docaudit.constants import SNIPPET_TYPES, WHITESPACE
 from docaudit.functions.text import lookup
 from docaudit.operators import segment
 from docaudit.operators.ranking import position
-from docaudit.session import spread
 
 WS = "'" + WHITESPACE + "'"
 
@@ -35,7 +34,7 @@ def _one_line(encoded: Column) -> Column:
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as papers: their text under a header, then a model, an image and a table."""
-    d = spread(table(spark, sf, "documents"))
+    d = table(spark, sf, "documents")
     i, n = F.col("doc_id"), F.col("n_chars")
     t0 = _cat("# 1. Overview ", F.col("source"), "\n", F.col("text"), "\n")
     t1 = _cat(
@@ -85,7 +84,7 @@ papers AS (SELECT *, t0 || chr(10) || t1 || chr(10) || t3 AS full_text FROM corp
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
     """Non-blank document lines as snippets of all types."""
-    rows = segment.line_snippets(spread(table(spark, sf, "documents")))
+    rows = segment.line_snippets(table(spark, sf, "documents"))
     kinds = F.array(*[F.lit(t) for t in SNIPPET_TYPES])
     kind = F.get(kinds, ((F.col("doc_id") * 7 + F.col("line_idx")) % 12).cast("int"))
     return rows.select(
@@ -108,10 +107,10 @@ lines AS (
 scored AS (
   SELECT *, CASE WHEN snippet_type = 'EQUATION' THEN content END AS latex,
     CASE WHEN snippet_type = 'EQUATION' THEN 0.72::DOUBLE
-      WHEN regexp_matches(lower(left(content, 2500)), 'incorrect|error|contradict|wrong') THEN 0.65::DOUBLE
+      WHEN regexp_matches(lower(content), 'incorrect|error|contradict|wrong') THEN 0.65::DOUBLE
       WHEN snippet_type IN ('FIGURE', 'TABLE') THEN 0.4::DOUBLE ELSE 0.08::DOUBLE END AS uncertainty,
     CASE WHEN snippet_type = 'EQUATION' THEN 'math'
-      WHEN regexp_matches(lower(left(content, 2500)), 'incorrect|error|contradict|wrong') THEN 'text'
+      WHEN regexp_matches(lower(content), 'incorrect|error|contradict|wrong') THEN 'text'
       WHEN snippet_type IN ('FIGURE', 'TABLE') THEN 'vision' ELSE 'none' END AS suggested_route
   FROM lines)"""
 
@@ -307,7 +306,7 @@ implied(domain, predicate) AS (VALUES
 
 def locations(spark: SparkSession, sf: str) -> DataFrame:
     """Two location strings per order line, in all the formats the parser knows."""
-    li = spread(table(spark, sf, "lineitem"))
+    li = table(spark, sf, "lineitem")
     return li.select(
         *_LINE_ORDER_COLS, "l_orderkey",
         location_text(F.col("l_partkey") % 20).alias("loc_a"),

@@ -10,6 +10,9 @@ CORPUS = f"""
     paper_content array<{ITEM}>, error_local_content array<{ITEM}>
 """
 
+# In files the id's column may be named after its kind.
+CORPUS_FILE = f"`doi/arxiv_id` string, {CORPUS}"
+
 FINDING = (
     "struct<error_category: string, error_location: string, confidence: double,"
     " supporting_evidence: string, verifier_name: string, snippet_id: string>"

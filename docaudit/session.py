@@ -1,16 +1,12 @@
-"""Session settings and the size checks that operators use to choose a strategy."""
+"""Session settings and tables in the shared folder."""
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A relation at most this large can be broadcast, or hold no group worth splitting.
-SMALL_BYTES = 256 * 1024 * 1024
-BROADCAST_BYTES = 64 * 1024 * 1024
-
 
 def build_session(app: str = "docaudit", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the jobs rely on; a cluster's own values win."""
@@ -35,12 +31,12 @@ def build_session(app: str = "docaudit", master: str | None = None, **conf) -> S
 def local_session(cpus: int | str = 8, **conf) -> SparkSession:
     return build_session(
         master=f"local[{cpus}]",
-        **{"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "12g", **conf},
+        **{"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": "12g", "spark.sql.files.maxPartitionBytes": "4m", **conf},
     )
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a scratch folder only where none is set."""
+    """The shared checkpoint folder that the session names; a scratch folder only on one machine with none set."""
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
@@ -48,30 +44,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        folder = os.path.join(tempfile.mkdtemp(prefix="docaudit-"), "checkpoints")
+        folder = tempfile.mkdtemp(prefix="docaudit-")
     spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, read without running it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
-    try:
-        return plan_bytes(df) <= limit
-    except Exception:  # no JVM handle: treat as large, which is the safe side
-        return False
-
+    return spark.sparkContext.getCheckpointDir()
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split a scan of a few small files over the cores before per-row heavy work.
 
-    A corpus of many files, or of any real size, already has enough input splits
-    and is returned unchanged, so no shuffle is added at scale.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if is_small(df) and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared checkpoint folder and read back: computed once, with a short lineage."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docaudit.constants import REPORT_SKIP_FILES, STEP_SPLITS
-from docaudit.schemas import CORPUS, PREDICTIONS, REPORTS, STEP_CASES
-
-
-def scan_corpus(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """One row per annotation; a declared schema spares the footer read and lets
-    Catalyst prune nested fields such as ``image_url``."""
-    df = spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
-    if "doi/arxiv_id" in df.columns:
-        df = df.withColumnRenamed("doi/arxiv_id", "paper_id")
-    return df
-
-
-CORPUS_SCHEMA = CORPUS
+from docaudit.schemas import CORPUS_FILE, PREDICTIONS, REPORTS, STEP_CASES
+
+
+def scan_corpus(spark: SparkSession, path: str, schema: str = CORPUS_FILE) -> DataFrame:
+    """One row per annotation. The declared schema spares the footer read and lets Catalyst
+    prune nested fields such as ``image_url``; columns that a file lacks are null. The id may
+    stand under either of its names."""
+    df = spark.read.schema(schema).parquet(path)
+    if "doi/arxiv_id" not in df.columns:
+        return df
+    named = F.col("`doi/arxiv_id`")
+    paper_id = F.coalesce(F.col("paper_id"), named) if "paper_id" in df.columns else named
+    return df.select(paper_id.alias("paper_id"), *[c for c in df.columns if c not in ("paper_id", "doi/arxiv_id")])
 
 
 def scan_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

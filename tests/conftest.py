@@ -9,8 +9,9 @@ from docaudit.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session(8)
+def spark(tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, **{"spark.checkpoint.dir": folder})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -1,22 +1,27 @@
-"""Positions in groups: the split path equals the plain window."""
+"""Positions in groups: ranges give what a plain window gives."""
 
 import random
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docaudit.operators import ranking
 
 
-def test_split_equals_window(spark):
+def test_ranges_equal_window(spark):
     rng = random.Random(3)
     rows = [("hot" if rng.random() < 0.5 else f"g{rng.randrange(40)}", rng.choice([0.2, 0.8, 0.9]), i) for i in range(6000)]
     df = spark.createDataFrame(rows, "g string, c double, i long")
     order = [-F.col("c"), F.col("i")]
-    plain = {(r.g, r.i): r.p for r in ranking.position(df, ["g"], order, "p").collect()}
-    split = {(r.g, r.i): r.p for r in ranking.position(df, ["g"], order, "p", hot_rows=500).collect()}
-    assert plain == split and len(plain) == 6000
-    none_hot = {(r.g, r.i): r.p for r in ranking.position(df, ["g"], order, "p", hot_rows=10**6).collect()}
-    assert none_hot == plain
+    w = Window.partitionBy("g").orderBy(*order)
+    plain = {(r.g, r.i): r.p for r in df.withColumn("p", F.row_number().over(w) - 1).collect()}
+    got = ranking.position(df, ["g"], order, "p")
+    assert {(r.g, r.i): r.p for r in got.collect()} == plain and got.columns == ["g", "c", "i", "p"]
+
+
+def test_null_group_over_several_ranges(spark):
+    df = spark.range(3000).select(F.lit(None).cast("string").alias("g"), "id")
+    assert ranking.position(df, ["g"], [F.col("id")], "p").where("p <> id").count() == 0
 
 
 def test_pages_keep_everything(spark):
