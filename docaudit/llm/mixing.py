@@ -44,19 +44,19 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def telling_words(texts: DataFrame) -> dict[str, list[str]]:
-    """Per domain, the TELLING words whose share of its documents most exceeds that of the others'."""
+    """Per domain, the TELLING words whose share of its documents most exceeds that of the others', by twice at least."""
     words = F.array_distinct(F.filter(words_of(F.col("text")), lambda w: F.length(w) <= 40))
     each = texts.select("domain", F.explode(words).alias("word"))
     total = {r["domain"]: r["n"] for r in texts.groupBy("domain").agg(F.count("*").alias("n")).collect()}  # three rows
     counts = each.groupBy("word").agg(*[F.count_if(F.col("domain") == d).alias(d) for d in DOMAINS], F.count("*").alias("n"))
-    counts = stored(counts.filter("n >= 10"), "mixing-words")
+    counts = stored(counts.filter("n >= 5"), "mixing-words")
     out = {}
     for d in DOMAINS:
         n, rest = total.get(d, 0), sum(total.values()) - total.get(d, 0)
         inside = F.col(d) / F.lit(max(n, 1))
         outside = (F.col("n") - F.col(d)) / F.lit(max(rest, 1))
         gain = inside * F.ln((inside + 1 / max(n, 1)) / (outside + 1 / max(rest, 1)))
-        out[d] = [r["word"] for r in counts.orderBy(gain.desc(), "word").limit(TELLING).select("word").collect()]
+        out[d] = [r["word"] for r in counts.filter(inside > 2 * outside).orderBy(gain.desc(), "word").limit(TELLING).select("word").collect()]
     return out
 
 
@@ -131,70 +131,70 @@ def posteriors(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, "n_tokens", *[(F.col(f"e_{d}") / whole).alias(f"p_{d}") for d in DOMAINS])
 
 
-def after(steps: list[list[float]], r: Column, q: Column) -> Column:
-    """The rate r and the one before it, q, after projected steps.
-
-    Each step (momentum, move for each domain) carries the rate on along its last change, adds the moves weighted by the
-    document's posteriors, and cuts it at zero.
-    """
-    now = F.struct(r.alias("r"), q.alias("q"))
+def after(steps: list[list[float]], r: Column) -> Column:
+    """The rate r after projected steps: each adds its moves, weighted by the document's posteriors, and cuts at zero."""
     if not steps:
-        return now
+        return r
 
-    def step(state: Column, s: Column) -> Column:
-        ahead = state["r"] + s[0] * (state["r"] - state["q"])
-        moved = sum((s[i + 1] * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)), ahead)
-        return F.struct(F.greatest(moved, F.lit(0.0)).alias("r"), state["r"].alias("q"))
+    def step(now: Column, s: Column) -> Column:
+        return F.greatest(sum((s[i] * F.col(f"p_{d}") for i, d in enumerate(DOMAINS)), now), F.lit(0.0))
 
-    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), now, step)
+    return F.aggregate(F.array(*[F.array(*map(F.lit, s)) for s in steps]), r, step)
 
 
-def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float) -> list[list[float]]:
-    """Steps of accelerated projected gradient descent on the squared gaps between expected domain totals and targets.
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a few linear equations, by elimination."""
+    rows = [[*row, x] for row, x in zip(matrix, right, strict=True)]
+    for i in range(len(rows)):
+        rows[i:] = sorted(rows[i:], key=lambda row: -abs(row[i]))
+        for j in range(len(rows)):
+            if j != i:
+                share = rows[j][i] / rows[i][i]
+                rows[j] = [x - share * y for x, y in zip(rows[j], rows[i], strict=True)]
+    return [row[-1] / row[i] for i, row in enumerate(rows)]
 
-    ``rows`` has n_tokens and p_<domain>. A step needs the totals at the present rates only, one aggregate of a few
-    numbers; a document's rate follows from its posteriors and the steps, so documents with equal posteriors are fitted
-    as one, and the list of steps is the result. Rates are written every SAVED steps. They move in units weighted
-    by tokens, in which the largest eigenvalue of the problem gives the step. Momentum starts anew when a step has
-    made things worse. Targets that cannot be met are approached in the sense of least squares.
+
+def fit_rates(rows: DataFrame, targets: dict[str, float], budget: float) -> list[list[float]]:
+    """Steps of projected gradient descent on the squared gaps between expected domain totals and targets.
+
+    ``rows`` has n_tokens and p_<domain>. A step needs the totals at the present rates, and how the domains of the
+    documents with positive rates overlap, one aggregate of a few numbers. A document's rate follows from its
+    posteriors and the steps, so documents with equal posteriors are fitted as one, and the list of steps is the
+    result; rates are written every SAVED steps. The gradient is scaled by the inverse of the overlaps. Where such a
+    step makes things worse, a plain one, of the length that the overlaps' sum allows, takes its place; so targets
+    that cannot be met are approached in the sense of least squares.
     """
     k = len(DOMAINS)
-    cross = [F.sum(F.col("n_tokens") * F.col(f"p_{a}") * F.col(f"p_{b}")) for a in DOMAINS for b in DOMAINS]
-    start = F.lit(budget)
-    rows = rows.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("n_tokens")).withColumns({"r": start, "q": start})
+    rows = rows.groupBy(*[f"p_{d}" for d in DOMAINS]).agg(F.sum("n_tokens").alias("n_tokens")).withColumn("r", F.lit(budget))
     rows = stored(rows, "mixing-rates")
-    first = rows.agg(F.sum("n_tokens"), *cross).first()
-    total = float(first[0] or 0)
+    total = float(rows.agg(F.sum("n_tokens")).first()[0] or 0)
     if total == 0:
         return []
-    gram = [[float(first[1 + i * k + j]) / total for j in range(k)] for i in range(k)]
-    vector = [1.0] * k
-    for _ in range(100):  # power iteration on a matrix of the domains
-        vector = [sum(g * v for g, v in zip(row, vector, strict=True)) for row in gram]
-        largest = max(map(abs, vector))
-        vector = [v / largest for v in vector]
     want = [targets[d] / sum(targets.values()) * budget for d in DOMAINS]
     steps: list[list[float]] = []
-    saved, pace, momentum, error = 0, 1.0, 0.0, math.inf
-    while len(steps) < MAX_STEPS:
-        moved = rows.withColumn("s", after(steps[saved:], F.col("r"), F.col("q")))
+    saved, error, plain, scaled = 0, math.inf, [0.0] * k, False
+    weight = {d: F.col("n_tokens") * F.col(f"p_{d}") for d in DOMAINS}
+    for _ in range(MAX_STEPS):
+        moved = rows.withColumn("s", after(steps[saved:], F.col("r")))
         if len(steps) - saved == SAVED:
             saved = len(steps)
-            rows = moved = stored(moved.drop("r", "q").withColumns({"r": F.col("s.r"), "q": F.col("s.q")}), "mixing-rates")
-        ahead = F.col("s.r") + momentum * (F.col("s.r") - F.col("s.q"))
-        sums = [F.sum(r * F.col("n_tokens") * F.col(f"p_{d}")) for r in (F.col("s.r"), ahead) for d in DOMAINS]
-        now = [float(x or 0) / total for x in moved.agg(*sums).first()]
+            rows = stored(moved.drop("r").withColumnRenamed("s", "r"), "mixing-rates")
+            moved = rows.withColumn("s", F.col("r"))
+        overlaps = [F.sum(F.when(F.col("s") > 0, weight[a] * F.col(f"p_{b}"))) for a in DOMAINS for b in DOMAINS]
+        now = [float(x or 0) / total for x in moved.agg(*[F.sum(F.col("s") * weight[d]) for d in DOMAINS], *overlaps).first()]
         gaps = [x - w for x, w in zip(now[:k], want, strict=True)]
         last, error = error, sum(g * g for g in gaps)
-        if max(map(abs, gaps)) <= TOLERANCE * budget or abs(last - error) <= 1e-9 * error:
+        if max(map(abs, gaps)) <= TOLERANCE * budget:
+            break
+        if scaled and error > last and len(steps) > saved:
+            steps[-1], scaled, error = plain, False, last
+            continue
+        if not scaled and last - error <= 1e-9 * error < math.inf and len(steps) > 1:
             break
-        if error > last:
-            pace, momentum, ahead = 1.0, 0.0, gaps
-        else:
-            ahead = [x - w for x, w in zip(now[k:], want, strict=True)]
-        steps.append([momentum, *(-g / largest for g in ahead)])
-        pace, before = (1 + math.sqrt(1 + 4 * pace * pace)) / 2, pace
-        momentum = (before - 1) / pace
+        matrix = [[now[k + i * k + j] + (1e-6 if i == j else 0.0) for j in range(k)] for i in range(k)]
+        plain = [-g for g in gaps]  # all overlaps sum to one at most, and so does the largest eigenvalue
+        steps.append(solved(matrix, plain))
+        scaled = True
     return steps
 
 
@@ -206,7 +206,7 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     that its posteriors give. Repeated rows get equal rates each; null ids keep theirs. Other columns are ignored.
     """
     rows = stored(posteriors(docs.select(F.col("doc_id").cast("long"), "text"), labels, "doc_id"), "mixing-posteriors")
-    out = rows.withColumn("rate", after(fit_rates(rows, targets or TARGETS, budget), F.lit(budget), F.lit(budget))["r"])
+    out = rows.withColumn("rate", after(fit_rates(rows, targets or TARGETS, budget), F.lit(budget)))
     return out.withColumn("expected_tokens", F.col("rate") * F.col("n_tokens"))
 
 
@@ -215,7 +215,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     rows = stored(posteriors(keyed, labels, "key"), "mixing-posteriors")
     steps = fit_rates(rows, targets or TARGETS, budget)
-    rates = rows.dropDuplicates(["key"]).withColumn("rate", after(steps, F.lit(budget), F.lit(budget))["r"])
+    rates = rows.dropDuplicates(["key"]).withColumn("rate", after(steps, F.lit(budget)))
     rates = stored(rates.select(F.col("key").alias("rate_key"), "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens")), "mixing-rates")
     rates = rates.filter("rate > 0")
     return docs.drop("rate", "expected_tokens").join(rates, text_key(F.col("text")) == F.col("rate_key")).drop("rate_key")
