@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docaudit.llm.common import documents, pair, signed, slices, word_hashes
 
 BACKOFF = 0.4
-BLOCK_BYTES = 32 << 20  # text of the documents that are exploded together
+BLOCK_BYTES = 12 << 20  # text of the documents that are exploded together
 PART_KEYS = 2_000_000  # n-grams, counted once per block, in a partition of the count tables
 
 
