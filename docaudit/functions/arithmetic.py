@@ -100,9 +100,10 @@ def evaluate(text: str) -> float:
         value = eval(code, {"__builtins__": {}}, {**ENVIRONMENT, **CONSTANTS})
     except Exception as exc:
         raise NotArithmetic(f"evaluation failed: {type(exc).__name__}") from exc
-    if isinstance(value, bool) or not isinstance(value, (int, float)):
-        raise NotArithmetic("non-numeric result")
-    return float(value)
+    number = float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else None
+    if number is None or not np.isfinite(number):
+        raise NotArithmetic("result is not a finite number")
+    return number
 
 
 @F.pandas_udf(RESULT)

@@ -18,44 +18,43 @@ from pyspark.sql import functions as F
 from docaudit.constants import MATCH_ACCEPT, MATCH_CATEGORY_BONUS
 from docaudit.functions.locations import location_score, match_key, with_location
 from docaudit.operators.ranking import pages
+from docaudit.session import stored
 from docaudit.schemas import MATCHES
 
 
-def with_key(df: DataFrame, location: str = "error_location") -> DataFrame:
-    return with_location(df, location, "_ref").withColumn("_key", match_key(F.col("_ref"))).drop("_ref")
-
-
-def pair_score(pred: Column, ann: Column) -> Column:
+def with_bonus(base: Column, predicted: Column, annotated: Column) -> Column:
     """Location score plus the bonus for an equal category, at most 1."""
-    base = location_score(pred["_key"], ann["_key"])
-    same = F.coalesce(pred["error_category"] == ann["error_category"], F.lit(False))
+    same = F.coalesce(predicted == annotated, F.lit(False))
     return F.when(same, F.least(F.lit(1.0), base + MATCH_CATEGORY_BONUS)).otherwise(base)
 
 
+def scored_locations(pairs: DataFrame) -> DataFrame:
+    """(one, two, base): the score of each distinct pair of location texts, parsed and compared once."""
+    texts = pairs.select(F.col("predicted_location").alias("one"), F.col("annotated_location").alias("two")).distinct()
+    keyed = with_location(with_location(texts, "one", "_r1"), "two", "_r2")
+    keyed = keyed.withColumns({"_k1": match_key(F.col("_r1")), "_k2": match_key(F.col("_r2"))})
+    return stored(keyed.select("one", "two", location_score(F.col("_k1"), F.col("_k2")).alias("base")), "location-scores")
+
+
 def candidate_scores(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT) -> DataFrame:
     """Scores of acceptable pairs of distinct (location, category) values per document.
 
-    Rows with equal values score alike, so scoring their distinct values is enough:
-    copies of a value, however many, are counted and not paired.
+    Rows with equal values score alike, so copies of a value, however many, are counted and not
+    paired; and locations of many documents read alike, so their texts are scored once for all.
     """
     keys = ["paper_id", "error_location", "error_category"]
-    p = with_key(preds.groupBy(*keys).agg(F.count("*").alias("n_predictions")))
-    a = with_key(anns.groupBy(*keys).agg(F.count("*").alias("n_annotations")))
-    pairs = p.select("paper_id", "n_predictions", F.struct("_key", "error_category", "error_location").alias("p")).join(
-        a.select("paper_id", "n_annotations", F.struct("_key", "error_category", "error_location").alias("a")), "paper_id"
-    )
-    # a filter on the score would be evaluated below the projection, so twice per pair
-    kept = F.filter(F.array(pair_score(F.col("p"), F.col("a"))), lambda score: score >= accept)
-    scored = pairs.select("*", F.explode_outer(kept).alias("score")).where(F.col("score").isNotNull())
-    return scored.select(
-        "paper_id",
-        F.col("p.error_location").alias("predicted_location"),
-        F.col("p.error_category").alias("predicted_category"),
-        F.col("a.error_location").alias("annotated_location"),
-        F.col("a.error_category").alias("annotated_category"),
-        "n_predictions",
-        "n_annotations",
-        "score",
+
+    def values(df: DataFrame, side: str, count: str) -> DataFrame:
+        named = df.groupBy(*keys).agg(F.count("*").alias(count))
+        return named.withColumnsRenamed({"error_location": f"{side}_location", "error_category": f"{side}_category"})
+
+    pairs = values(preds, "predicted", "n_predictions").join(values(anns, "annotated", "n_annotations"), "paper_id")
+    base = scored_locations(pairs)
+    met = F.col("predicted_location").eqNullSafe(F.col("one")) & F.col("annotated_location").eqNullSafe(F.col("two"))
+    scored = pairs.join(base, met).withColumn("score", with_bonus(F.col("base"), F.col("predicted_category"), F.col("annotated_category")))
+    return scored.where(F.col("score") >= accept).select(
+        "paper_id", "predicted_location", "predicted_category", "annotated_location", "annotated_category",
+        "n_predictions", "n_annotations", "score",
     )
 
 
@@ -144,24 +143,25 @@ def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCE
     return ordered.mapInArrow(_served, f"paper_id {kind}, pred_idx bigint, ann_idx bigint, score double")
 
 
+# What a row tells beside its place in the matching, where its side has it.
+TOLD = ("confidence", "supporting_evidence", "verifier_name", "snippet_id")
+
+
 def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every prediction as TP or FP and every unmatched annotation as FN."""
+    """Every prediction as TP or FP and every unmatched annotation as FN, with what each side tells."""
     m = matches.withColumns({c: F.col(c).cast("bigint") for c in ("pred_idx", "ann_idx")})
-    gt = anns.select(
-        "paper_id",
-        F.col("ann_idx").cast("bigint").alias("ann_idx"),
-        *[F.col(column).alias(name) for column, name in GROUND_TRUTH.items()],
-    )
-    hits = m.join(gt, ["paper_id", "ann_idx"])
+    truth = dict(GROUND_TRUTH) | ({"error_annotation": "gt_annotation"} if "error_annotation" in anns.columns else {})
+    gt = anns.select("paper_id", F.col("ann_idx").cast("bigint").alias("ann_idx"), *[F.col(column).alias(name) for column, name in truth.items()])
+    told = [c for c in TOLD if c in preds.columns]
     p = preds.select(
-        "paper_id", F.col("pred_idx").cast("bigint").alias("pred_idx"), "error_category", "error_location"
-    ).join(hits, ["paper_id", "pred_idx"], "left")
+        "paper_id", F.col("pred_idx").cast("bigint").alias("pred_idx"), "error_category", "error_location", *told
+    ).join(m.join(gt, ["paper_id", "ann_idx"]), ["paper_id", "pred_idx"], "left")
     served = p.select(
         "paper_id",
         F.when(F.col("ann_idx").isNotNull(), "TP").otherwise("FP").alias("outcome"),
-        "pred_idx", "ann_idx", "error_category", "error_location",
-        "gt_category", "gt_location", "gt_severity",
+        "pred_idx", "ann_idx", "error_category", "error_location", *truth.values(),
         F.coalesce("score", F.lit(0.0)).alias("match_quality"),
+        *told,
     )
     missed = gt.join(m.select("paper_id", "ann_idx"), ["paper_id", "ann_idx"], "left_anti").select(
         "paper_id",
@@ -170,8 +170,9 @@ def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame
         "ann_idx",
         F.lit("").alias("error_category"),
         F.lit("").alias("error_location"),
-        "gt_category", "gt_location", "gt_severity",
+        *truth.values(),
         F.lit(1.0).alias("match_quality"),
+        *[F.lit(None).cast(preds.schema[c].dataType).alias(c) for c in told],
     )
     return served.unionByName(missed)
 
@@ -239,13 +240,17 @@ def align_judged(preds: DataFrame, anns: DataFrame, judged: DataFrame, accept: f
 
 
 def judge_payloads(preds: DataFrame, anns: DataFrame, size: int = 500) -> DataFrame:
-    """What a judge reads, as JSON arrays per document and side, in pages of bounded length."""
+    """What a judge reads, as JSON arrays per document and side, in pages of bounded length.
+
+    Items carry their index in the document. A judge answers with these for any pair of pages; the
+    answers of a document, put together, go through ``sanitize_matches`` as one.
+    """
     a = pages(
         anns, ["paper_id"], "ann_idx",
-        F.struct(F.col("error_location").alias("location"), F.col("error_annotation").alias("description")), "_l", size,
+        F.struct(F.col("ann_idx").alias("idx"), F.col("error_location").alias("location"), F.col("error_annotation").alias("description")), "_l", size,
     )
     p = pages(
-        preds, ["paper_id"], "pred_idx", F.struct("error_category", "error_location", "supporting_evidence"), "_l", size
+        preds, ["paper_id"], "pred_idx", F.struct(F.col("pred_idx").alias("idx"), "error_category", "error_location", "supporting_evidence"), "_l", size
     )
     sides = [
         side.select("paper_id", F.lit(name).alias("side"), "page", F.to_json("_l").alias("payload"))

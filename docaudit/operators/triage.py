@@ -139,7 +139,7 @@ def threshold_sweep(scored: DataFrame, grid: list[float] = SWEEP_GRID, group: st
     return scored.groupBy(group).agg(*aggs).select(group, F.inline(F.array(*rows)))
 
 
-def sweep_findings(findings: DataFrame, grid: list[float] = SWEEP_GRID) -> DataFrame:
-    """The findings each threshold keeps, one row per threshold and finding."""
+def sweep_findings(scored: DataFrame, grid: list[float] = SWEEP_GRID) -> DataFrame:
+    """The findings (``is_finding``) each threshold keeps, one row per threshold and finding."""
     passed = F.filter(F.array(*[F.lit(t) for t in grid]), lambda t: t <= F.col("uncertainty"))
-    return findings.withColumn("threshold", F.explode(passed))
+    return scored.where("is_finding").withColumn("threshold", F.explode(passed))

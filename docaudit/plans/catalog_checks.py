@@ -139,7 +139,7 @@ def _(spark, sf):
 WITH {LINES_SQL}, grid(t) AS (VALUES (0.10::DOUBLE),(0.15),(0.20),(0.25),(0.30),(0.35),(0.40),(0.45),(0.50))
 SELECT snippet_id, t AS threshold FROM scored JOIN grid ON uncertainty >= t WHERE length(content) % 3 = 0""")
 def _(spark, sf):
-    s = triage.rule_score(inputs.lines(spark, sf)).where(F.length("content") % 3 == 0)
+    s = triage.rule_score(inputs.lines(spark, sf)).withColumn("is_finding", F.length("content") % 3 == 0)
     return triage.sweep_findings(s).select("snippet_id", "threshold")
 
 
@@ -193,7 +193,7 @@ def _(spark, sf):
 
 
 @query("chunk_findings", """
-WITH c AS (SELECT user_id, event_id AS chunk_idx, event_type = 'error' AS failed, value > 60 AS err, value AS conf, event_type FROM events WHERE value < 40 OR event_type <> 'view'),
+WITH c AS (SELECT user_id, event_id AS chunk_idx, event_type = 'error' AS failed, value > 60 AS err, value AS conf, event_type FROM events),
 b AS (SELECT user_id, count(*) AS n, count(*) FILTER (failed) AS nf, arg_max(chunk_idx, CASE WHEN NOT failed THEN row(err, conf, -chunk_idx) END) AS i,
  arg_max(err, CASE WHEN NOT failed THEN row(err, conf, -chunk_idx) END) AS e, arg_max(conf, CASE WHEN NOT failed THEN row(err, conf, -chunk_idx) END) AS k,
  arg_max(event_type, CASE WHEN NOT failed THEN row(err, conf, -chunk_idx) END) AS t FROM c GROUP BY 1)
@@ -201,7 +201,7 @@ SELECT user_id, n::BIGINT AS n_chunks, nf::BIGINT AS n_failed, CASE WHEN n = nf
  coalesce(e, false) AS error_detected, round(CASE WHEN n = nf THEN 0 ELSE k END, 6) AS confidence,
  CASE WHEN n <> nf THEN CASE WHEN n > 1 THEN '[chunk ' || (i + 1) || '/' || n || '] ' ELSE '' END || t END AS reasoning, CASE WHEN n <> nf THEN t END AS predicted_error_category FROM b""")
 def _(spark, sf):
-    e = inputs.table(spark, sf, "events").where((F.col("value") < 40) | (F.col("event_type") != "view"))
+    e = inputs.table(spark, sf, "events")
     c = e.select(
         "user_id",
         F.col("event_id").alias("chunk_idx"),

@@ -76,10 +76,11 @@ walk AS (
 matched AS (SELECT paper_id, pred_idx, ann_idx, score FROM walk WHERE ann_idx IS NOT NULL),
 aligned AS (
  SELECT p.paper_id, CASE WHEN m.ann_idx IS NULL THEN 'FP' ELSE 'TP' END AS outcome, p.pred_idx, m.ann_idx, p.error_category, p.error_location,
-  a.error_category AS gt_category, a.error_location AS gt_location, a.error_severity AS gt_severity, coalesce(m.score, 0.0::DOUBLE) AS match_quality
+  a.error_category AS gt_category, a.error_location AS gt_location, a.error_severity AS gt_severity, coalesce(m.score, 0.0::DOUBLE) AS match_quality,
+  p.supporting_evidence, a.error_annotation AS gt_annotation
  FROM preds p LEFT JOIN matched m USING (paper_id, pred_idx) LEFT JOIN anns a ON a.paper_id = p.paper_id AND a.ann_idx = m.ann_idx
  UNION ALL
- SELECT a.paper_id, 'FN', NULL, a.ann_idx, '', '', a.error_category, a.error_location, a.error_severity, 1.0::DOUBLE
+ SELECT a.paper_id, 'FN', NULL, a.ann_idx, '', '', a.error_category, a.error_location, a.error_severity, 1.0::DOUBLE, NULL, a.error_annotation
  FROM anns a WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.paper_id = a.paper_id AND m.ann_idx = a.ann_idx))"""
 
 
@@ -89,7 +90,7 @@ def aligned(spark, sf):
 
 @query("greedy_align", f"""
 WITH RECURSIVE {GREEDY_SQL}
-SELECT paper_id, outcome, pred_idx, ann_idx, error_category, error_location, gt_category, gt_location, gt_severity, round(match_quality, 6) AS match_quality FROM aligned""")
+SELECT paper_id, outcome, pred_idx, ann_idx, error_category, error_location, gt_category, gt_location, gt_severity, round(match_quality, 6) AS match_quality, supporting_evidence, gt_annotation FROM aligned""")
 def _(spark, sf):
     return aligned(spark, sf)
 
@@ -173,9 +174,9 @@ def _(spark, sf):
 
 @query("judge_payloads", f"""
 WITH {ALIGN_SQL}
-SELECT paper_id, 'annotations' AS side, 0::BIGINT AS page, '[' || string_agg('{{"location":"' || error_location || '","description":"' || error_annotation || '"}}', ',' ORDER BY ann_idx) || ']' AS payload FROM anns GROUP BY 1
+SELECT paper_id, 'annotations' AS side, 0::BIGINT AS page, '[' || string_agg('{{"idx":' || ann_idx || ',"location":"' || error_location || '","description":"' || error_annotation || '"}}', ',' ORDER BY ann_idx) || ']' AS payload FROM anns GROUP BY 1
 UNION ALL
-SELECT paper_id, 'predictions', 0, '[' || string_agg('{{"error_category":"' || error_category || '","error_location":"' || error_location || '","supporting_evidence":"' || supporting_evidence || '"}}', ',' ORDER BY pred_idx) || ']' FROM preds GROUP BY 1""")
+SELECT paper_id, 'predictions', 0, '[' || string_agg('{{"idx":' || pred_idx || ',"error_category":"' || error_category || '","error_location":"' || error_location || '","supporting_evidence":"' || supporting_evidence || '"}}', ',' ORDER BY pred_idx) || ']' FROM preds GROUP BY 1""")
 def _(spark, sf):
     return align.judge_payloads(inputs.predictions(spark, sf), inputs.annotations(spark, sf))
 

@@ -227,7 +227,7 @@ def _(spark, sf):
 
 
 @query("resolve_obligations", f"""
-WITH {SYMBOLS_SQL}, ob AS (SELECT paper_id, order_idx, snippet_id || '_cond' AS obligation_id, k % 4 AS c, unnest([symbol, symbol2]) AS symbol FROM st WHERE event_type = 'purchase'),
+WITH {SYMBOLS_SQL}, ob AS (SELECT paper_id, order_idx, snippet_id || '_cond' AS obligation_id, k % 4 AS c, unnest([symbol, symbol2]) AS symbol FROM st),
 need(c, predicate) AS (VALUES (0, 'nonzero'), (0, 'positive'), (1, 'positive'), (2, 'real'), (3, 'integer')),
 j AS (SELECT ob.paper_id, obligation_id, ob.symbol, CASE WHEN predicate IS NOT NULL THEN greatest(ob.order_idx, m.domain_from) END AS t_at
  FROM ob LEFT JOIN merged m ON m.paper_id = ob.paper_id AND m.symbol = ob.symbol AND m.domain_from IS NOT NULL LEFT JOIN (SELECT * FROM implied JOIN need USING (predicate)) i ON i.domain = m.domain AND i.c = ob.c)
@@ -324,7 +324,7 @@ sy AS (SELECT paper_id, 'symbols' AS section, row_number() OVER (PARTITION BY pa
    WHEN definition IS NOT NULL THEN '  (defined_as=' || definition || ')' ELSE '' END AS line FROM merged),
 de AS (SELECT paper_id, 'definitions', row_number() OVER (PARTITION BY paper_id ORDER BY defined_from, symbol) AS rank, '- ' || symbol || ' = ' || definition FROM merged WHERE definition IS NOT NULL),
 asu AS (SELECT paper_id, 'assumptions', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '] ' || event_type FROM st WHERE event_type = 'signup'),
-ob AS (SELECT paper_id, 'obligations', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '_cond] ' || {inputs.CONDITIONS!r}[k % 4 + 1] FROM st WHERE event_type = 'purchase')
+ob AS (SELECT paper_id, 'obligations', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '_cond] ' || {inputs.CONDITIONS!r}[k % 4 + 1] FROM st)
 SELECT paper_id, section, rank::BIGINT AS rank, line FROM (SELECT * FROM sy WHERE rank <= 20 UNION ALL SELECT * FROM de WHERE rank <= 10 UNION ALL SELECT * FROM asu WHERE rank <= 10 UNION ALL SELECT * FROM ob WHERE rank <= 5)""")
 def _(spark, sf):
     st = inputs.statements(spark, sf)

@@ -255,7 +255,7 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
 
 def declarations(st: DataFrame) -> DataFrame:
     domains = F.array(*[F.lit(d) for d in DOMAINS])
-    return st.where(F.col("event_type").isin("click", "view")).select(
+    return st.select(
         "paper_id", "snippet_id", "order_idx", "symbol",
         F.get(domains, F.col("k") % len(DOMAINS)).alias("domain"),
         F.when(F.col("event_type") == "click", F.concat(F.lit("q"), F.col("k").cast("string"))).alias("definition"),
@@ -264,7 +264,7 @@ def declarations(st: DataFrame) -> DataFrame:
 
 def obligations(st: DataFrame) -> DataFrame:
     conditions = F.array(*[F.lit(c) for c in CONDITIONS])
-    return st.where(F.col("event_type") == "purchase").select(
+    return st.select(
         "paper_id", "order_idx",
         F.concat("snippet_id", F.lit("_cond")).alias("obligation_id"),
         F.get(conditions, F.col("k") % len(CONDITIONS)).alias("condition"),
@@ -277,7 +277,7 @@ SYMBOLS_SQL = f"""st AS (
     's' || ((k + 3) % 7) AS symbol2 FROM (SELECT *, regexp_extract(props, '[0-9]+')::INT AS k FROM events)),
 decl AS (
   SELECT *, {DOMAINS!r}[k % 8 + 1] AS domain, CASE WHEN event_type = 'click' THEN 'q' || k END AS definition
-  FROM st WHERE event_type IN ('click', 'view')),
+  FROM st),
 ranked AS (
   SELECT *, first_value(domain) OVER w AS first_domain,
     row_number() OVER (PARTITION BY paper_id, symbol ORDER BY order_idx) AS r,
