@@ -1,6 +1,6 @@
 """All catalog queries and their comparison SQL."""
 
-from docaudit.plans import catalog_checks, catalog_corpus, catalog_eval, catalog_math  # noqa: F401
+from docaudit.plans import catalog_checks, catalog_corpus, catalog_eval, catalog_io, catalog_math  # noqa: F401
 from docaudit.plans.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
