@@ -27,21 +27,26 @@ class Grams:
         parts = [word_hashes(texts.slice(lo, hi - lo)) for lo, hi in slices(texts)]
         words = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
         self.lengths = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        del parts
+        # A block has few enough words for 32 bits, which halves what its places take.
+        self.row = np.repeat(np.arange(len(self.lengths), dtype=np.int32), self.lengths)
         self.first = np.ones(len(words), bool)
         self.first[1:] = self.row[1:] != self.row[:-1]
         inner = np.flatnonzero(~self.first)
         both = np.concatenate([words, pair(words[inner - 1], words[inner])])
+        n = len(words)
+        del words
         self.keys, at, self.counts = np.unique(both, return_inverse=True, return_counts=True)
-        self.words = at[: len(words)]
-        self.pairs = np.full(len(words), -1)
-        self.pairs[inner] = at[len(words) :]
+        del both
+        self.at = at.astype(np.int32)
+        self.words = self.at[:n]
+        self.pairs = np.full(n, -1, np.int32)
+        self.pairs[inner] = self.at[n:]
         self.rows = np.concatenate([self.row, self.row[inner]])
-        self.at = at
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
         """How often its document has each word, and each pair."""
-        _, where, n = np.unique(self.rows * max(len(self.keys), 1) + self.at, return_inverse=True, return_counts=True)
+        _, where, n = np.unique(self.rows.astype(np.int64) * max(len(self.keys), 1) + self.at, return_inverse=True, return_counts=True)
         n = n[where]
         pairs = np.zeros(len(self.words), np.int64)
         pairs[~self.first] = n[len(self.words) :]
