@@ -152,14 +152,32 @@ def lookup_lists(table: dict[str, list[str]], key: Column) -> Column:
     return F.filter(F.split(packed, ","), lambda s: s != "")
 
 
-def residual_stats(df: DataFrame, residual: Callable[..., Column], n_symbols: int, domains: list[Column] | None = None) -> DataFrame:
+def complex_ln(x: Column) -> tuple[Column, Column]:
+    """Real and imaginary part of the logarithm of a real number; null at zero."""
+    return F.ln(F.abs(x)), F.when(x < 0, F.pi()).otherwise(0.0)
+
+
+def complex_sqrt(x: Column) -> tuple[Column, Column]:
+    """Real and imaginary part of the root of a real number."""
+    return F.sqrt(F.greatest(x, F.lit(0.0))), F.sqrt(F.greatest(-x, F.lit(0.0)))
+
+
+def residual_stats(df: DataFrame, residual: Callable[..., Column | tuple[Column, Column]], n_symbols: int,
+                   domains: list[Column] | None = None) -> DataFrame:
     """Statistics of a residual expression over the fixed sample points of each row.
 
-    The samples are an array inside the row: rows are not multiplied and nothing shuffles.
+    The samples are an array inside the row: rows are not multiplied and nothing shuffles. A residual
+    that leaves the real numbers, as logarithms and roots of negative ones do, is given as its
+    real and imaginary part (``complex_ln``, ``complex_sqrt``) and counts by its absolute value.
     """
     values = [sample_values(j, domains[j] if domains else None) for j in range(n_symbols)]
+
+    def size(i: Column) -> Column:
+        r = residual(*[v(i) for v in values])
+        return finite(F.hypot(*r) if isinstance(r, tuple) else F.abs(r))
+
     sizes = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_COUNT - 1)), lambda i: finite(F.abs(residual(*[v(i) for v in values])))),
+        F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_COUNT - 1)), size),
         lambda r: r.isNotNull(),
     )
     df = df.withColumn("_s", sizes)

@@ -105,7 +105,8 @@ def _(spark, sf):
 POINTS_SQL = "[" + ", ".join(f"{p}/{q}::DOUBLE" for p, q in SAMPLE_POINTS) + "]"
 RESIDUAL_SQL = f"""pts AS (SELECT i, pt[i % 16 + 1] AS x, pt[(i + 1) % 16 + 1] AS y FROM (SELECT unnest(range(30)) AS i, {POINTS_SQL} AS pt)),
 r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity,
-  CASE WHEN l_returnflag = 'A' AND x <= 0 THEN NULL ELSE abs(l_quantity * (x + y) - (l_quantity * x + l_quantity * y) + CASE l_returnflag WHEN 'R' THEN l_tax * x WHEN 'A' THEN ln(CASE WHEN x > 0 THEN x END) ELSE 0 END) END AS m FROM lineitem CROSS JOIN pts),
+  CASE WHEN l_returnflag = 'A' AND x = 0 THEN NULL ELSE sqrt(pow(l_quantity * (x + y) - (l_quantity * x + l_quantity * y) + CASE l_returnflag WHEN 'R' THEN l_tax * x WHEN 'A' THEN ln(abs(x)) ELSE 0 END, 2)
+    + CASE WHEN l_returnflag = 'A' AND x < 0 THEN pow(pi(), 2) ELSE 0 END) END AS m FROM lineitem CROSS JOIN pts),
 rs AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, count(m) AS n, CASE WHEN count(m) > 0 THEN count(*) FILTER (m > 1e-9) / count(m) ELSE 0 END AS f, coalesce(max(m), 0) AS s, count(*) AS c
  FROM r GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag, l_quantity)"""
 
@@ -115,8 +116,9 @@ def _residuals(spark, sf):
     q, t, flag = F.col("l_quantity"), F.col("l_tax"), F.col("l_returnflag")
 
     def residual(x, y):
-        extra = F.when(flag == "R", t * x).when(flag == "A", F.ln(x)).otherwise(0.0)
-        return q * (x + y) - (q * x + q * y) + extra
+        real, imaginary = claims.complex_ln(x)
+        extra = F.when(flag == "R", t * x).when(flag == "A", real).otherwise(0.0)
+        return q * (x + y) - (q * x + q * y) + extra, F.when(flag == "A", imaginary).otherwise(0.0)
 
     return claims.residual_stats(li, residual, 2)
 
