@@ -60,10 +60,12 @@ def finding_pages(ranked_findings: DataFrame, size: int = 1000) -> DataFrame:
     return pages(ranked_findings, ["paper_id"], "pred_idx", item, "predicted_errors", size)
 
 
-def rollup(papers: DataFrame, results: DataFrame, strictness: str = "strict", overrides: dict | None = None) -> DataFrame:
+def rollup(papers: DataFrame, results: DataFrame, strictness: str = "strict", overrides: dict | None = None,
+           triaged: bool = False) -> DataFrame:
     """One row per document, also for those without results: counts and verifier usage.
 
-    Rows accepted by triage count as snippets, but not as verified ones.
+    Rows accepted by triage count as snippets, but not as verified ones. After a triage pass
+    (``triaged``) the usage counts all snippets under "triage", since all went through it.
 
     Counting per (document, verifier) first keeps the shuffle to a handful of rows per
     document and task, even for a document that owns a third of all results.
@@ -80,6 +82,9 @@ def rollup(papers: DataFrame, results: DataFrame, strictness: str = "strict", ov
         F.max("top").alias("top_confidence"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("verifier_name", "n")))).alias("verifier_usage"),
     )
+    if triaged:
+        others = F.map_filter("verifier_usage", lambda k, _: k != "triage")
+        per_paper = per_paper.withColumn("verifier_usage", F.map_concat(others, F.create_map(F.lit("triage"), "total_snippets")))
     return papers.join(per_paper, "paper_id", "left").withColumns(
         {
             "total_snippets": F.coalesce("total_snippets", F.lit(0)).cast("bigint"),

@@ -353,12 +353,14 @@ def _(spark, sf):
 @query("triaged_rollup", f"""
 WITH {FLOW_SQL}, f AS (SELECT *, error_detected AND confidence >= CASE verifier_name WHEN 'vision' THEN 0.75::DOUBLE ELSE 0.8::DOUBLE END AS is_finding FROM verdict),
 per AS (SELECT paper_id, verifier_name, count(*) AS n, count(*) FILTER (is_finding) AS e, max(CASE WHEN is_finding THEN confidence END) AS t FROM f GROUP BY 1, 2),
-r AS (SELECT paper_id, sum(n) AS n, sum(CASE WHEN verifier_name <> 'triage' THEN n END) AS v, sum(e) AS e, max(t) AS t, string_agg(verifier_name || '=' || n, '|' ORDER BY verifier_name) AS u FROM per GROUP BY 1)
+r AS (SELECT paper_id, sum(n) AS n, sum(CASE WHEN verifier_name <> 'triage' THEN n END) AS v, sum(e) AS e, max(t) AS t FROM per GROUP BY 1),
+w AS (SELECT paper_id, string_agg(verifier_name || '=' || n, '|' ORDER BY verifier_name) AS u
+  FROM (SELECT paper_id, verifier_name, n FROM per WHERE verifier_name <> 'triage' UNION ALL SELECT paper_id, 'triage', n FROM r) GROUP BY 1)
 SELECT doc_id AS paper_id, coalesce(n, 0)::BIGINT AS total_snippets, coalesce(v, 0)::BIGINT AS snippets_verified, coalesce(e, 0)::BIGINT AS errors_detected, round(t, 6) AS top_confidence, coalesce(u, '') AS verifier_usage
-FROM documents LEFT JOIN r ON r.paper_id = doc_id""")
+FROM documents LEFT JOIN r ON r.paper_id = doc_id LEFT JOIN w ON w.paper_id = doc_id""")
 def _(spark, sf):
     papers = inputs.table(spark, sf, "documents").select(F.col("doc_id").alias("paper_id"))
-    return flows.predictions(papers, flows.triaged(inputs.lines(spark, sf)))
+    return flows.predictions(papers, flows.triaged(inputs.lines(spark, sf)), triaged=True)
 
 
 @query("exhaustive_results", f"""

@@ -61,9 +61,9 @@ def triaged(snippets: DataFrame, registry: scorers.ScorerRegistry | None = None,
     ).select(*RESULT)
 
 
-def predictions(papers: DataFrame, results: DataFrame, strictness: str = "strict") -> DataFrame:
+def predictions(papers: DataFrame, results: DataFrame, strictness: str = "strict", triaged: bool = False) -> DataFrame:
     """Document roll-up. Every snippet has one result, so the totals need no second scan."""
-    return findings.rollup(papers, results, strictness)
+    return findings.rollup(papers, results, strictness, triaged=triaged)
 
 
 def evaluate(predicted: DataFrame, annotations: DataFrame, category: str | None = None,
@@ -128,7 +128,7 @@ def verify_corpus(corpus: DataFrame, mode: str = "exhaustive", strictness: str =
         "snippets": snippets,
         "results": results,
         "findings": findings.ranked(findings.findings(results, strictness)),
-        "predictions": predictions(papers.select("paper_id", "title", "paper_category"), results, strictness),
+        "predictions": predictions(papers.select("paper_id", "title", "paper_category"), results, strictness, mode == "uncertainty"),
     }
 
 
