@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from docaudit.llm.common import documents, stored
 
 ROWS = 10  # cells of each of the three parts of a table
 ROUNDS = 12  # of peeling
+PIECE = 16  # words of a piece of a line, on average
+UNITS = r"(?<=\s)|(?<=[aeiou0-9]|[^\x00-\x7F])(?=\S{64})"  # ends of words, and of parts of a run that is very long
 SPLIT = 4  # a table that cannot be peeled is tried again as so many tables
 
 
@@ -18,6 +22,26 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)))
 
 
+def piece_digests(text: Column) -> Column:
+    """The distinct digests of the pieces of a text's lines.
+
+    A line is cut after each word that, hashed with the one before it, is 0 modulo PIECE, so a change
+    reaches the pieces around it only, wherever it stands.
+    """
+
+    def cuts(w: Column) -> Column:
+        return F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: (i == F.size(w)) | (F.pmod(F.xxhash64(F.get(w, i - 1), F.get(w, i - 2)), F.lit(PIECE)) == 0))
+
+    def cut(w: Column, ends: Column) -> Column:
+        begin = lambda j: F.coalesce(F.get(ends, j - 1), F.lit(0))
+        return F.transform(ends, lambda e, j: F.xxhash64(F.slice(w, begin(j) + 1, e - begin(j))))
+
+    def pieces(line: Column) -> Column:
+        return bound(F.split(line, UNITS), lambda w: bound(cuts(w), lambda ends: cut(w, ends)))
+
+    return F.array_distinct(F.flatten(F.transform(F.split(text, "\n"), pieces)))
+
+
 def placed(keys: Column) -> Column:
     """Each key with its check and the three cells that hold it, one in each part."""
 
@@ -157,10 +181,11 @@ def retried(open_: DataFrame) -> DataFrame:
     return found.groupBy("id", "which").agg(F.sum("n").alias("n"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, digests: Callable[[Column], Column] = digests) -> DataFrame:
     """Per row: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    A fingerprint is a table of the digests of the text's distinct lines. Likeness is one less the share
+    A fingerprint is a table of the distinct digests that ``digests`` takes of the text, of lines or of pieces
+    of lines. Likeness is one less the share
     of differing digests, which subtracting and peeling the tables recovers, among those of both
     texts. In the edited text the last third gives way to the beginning of the next document in
     descending order of doc_id, null ids last. A null text counts as empty, an empty text as one empty
@@ -202,4 +227,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def op10_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
-    return fingerprints(documents(spark, sf))
+    return fingerprints(documents(spark, sf), piece_digests)
