@@ -65,9 +65,13 @@ def implied_predicates(merged: DataFrame) -> DataFrame:
 
 def context_before(uses: DataFrame, merged: DataFrame) -> DataFrame:
     """For each use of a symbol, what was declared strictly before that statement."""
-    j = uses.join(merged, ["paper_id", "symbol"], "left")
+    return as_of(uses.join(merged, ["paper_id", "symbol"], "left"))
+
+
+def as_of(joined: DataFrame) -> DataFrame:
+    """Uses beside their symbols' merged declarations: what of those lies before the use."""
     k = F.col("order_idx")
-    return j.select(
+    return joined.select(
         "paper_id",
         "snippet_id",
         "order_idx",
@@ -97,12 +101,18 @@ def resolve_obligations(obligations: DataFrame, merged: DataFrame) -> DataFrame:
         F.explode_outer("depends_on").alias("symbol"),
     )
     facts = merged.select("paper_id", "symbol", "domain", "domain_from")
-    j = deps.join(facts, ["paper_id", "symbol"], "left")
+    return first_resolution(resolution(deps.join(facts, ["paper_id", "symbol"], "left")), "paper_id", "obligation_id")
+
+
+def resolution(joined: DataFrame) -> DataFrame:
+    """Obligations beside the facts of one of their symbols: _at, where that symbol satisfies them."""
     hit = F.arrays_overlap("_need", predicates(F.col("domain"))) & F.col("domain_from").isNotNull()
-    at = F.when(hit, F.greatest("order_idx", "domain_from"))
+    return joined.withColumn("_at", F.when(hit, F.greatest("order_idx", "domain_from")))
+
+
+def first_resolution(rows: DataFrame, *keys: str) -> DataFrame:
     return (
-        j.withColumn("_at", at)
-        .groupBy("paper_id", "obligation_id")
+        rows.groupBy(*keys)
         .agg(F.min("_at").alias("resolved_at"), F.min_by("symbol", F.when(F.col("_at").isNotNull(), F.struct("_at", "symbol"))).alias("resolved_by"))
         .withColumn("status", F.when(F.col("resolved_at").isNull(), "pending").otherwise("resolved"))
     )

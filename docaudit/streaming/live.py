@@ -7,9 +7,14 @@ That is the streaming form of releasing a document's context when it is done.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from docaudit.operators.context import as_of, first_resolution, needed_predicates, resolution
 from docaudit.operators.findings import is_finding
 
 
@@ -43,3 +48,155 @@ def live_symbols(declarations: DataFrame, ts: str, delay: str = "10 minutes", ga
             F.min("order_idx").alias("first_seen"),
         )
     )
+
+
+# The context of a document as one stream: declarations, uses and obligations arrive in any order and late.
+
+EVENT = (
+    "paper_id string, kind string, symbol string, snippet_id string, order_idx long, domain string, definition string,"
+    " obligation_id string, need array<string>"
+)
+FACTS = (
+    "domain string, domain_from long, definition string, defined_from long, source_snippet string,"
+    " first_seen long, began_unknown boolean"
+)
+PENDING = "kind string, symbol string, snippet_id string, order_idx long, obligation_id string, need array<string>"
+RELEASED = f"paper_id string, {PENDING}, {FACTS}, released timestamp"
+
+
+def context_events(declarations: DataFrame, uses: DataFrame, obligations: DataFrame, ts: str = "ts") -> DataFrame:
+    """One table of what the three tables say, as ``live_context`` reads it; an obligation has a row per symbol."""
+    tables = {
+        "declaration": declarations,
+        "use": uses,
+        "obligation": obligations.withColumn("need", needed_predicates(F.col("condition"))).withColumn("symbol", F.explode_outer("depends_on")),
+    }
+    names = [f.split()[0] for f in EVENT.split(", ")]
+    types = dict(f.split() for f in EVENT.split(", "))
+    out = None
+    for kind, df in tables.items():
+        df = df.withColumn("kind", F.lit(kind))
+        rows = df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(types[c]).alias(c) for c in names], ts)
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+class SymbolState(StatefulProcessor):
+    """The facts of a document's symbols, as small as a merged declaration each, and what waits for them.
+
+    Facts are minima over the statements' positions, so the order of arrival is of no account. Uses and obligations wait
+    until the document has been quiet for ``gap``: an earlier statement may still come until then. One
+    event-time timer stands per document, moved on by its latest row; when it fires, all is emitted and cleared.
+    """
+
+    def __init__(self, ts: str, gap_ms: int):
+        self.ts, self.gap = ts, gap_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        firsts = "order_idx long, snippet_id string, domain string, dom_order long, dom_snippet string, known string, def_order long, def_snippet string, definition string"
+        self.handle = handle
+        self.facts = handle.getMapState("facts", "symbol string", firsts)
+        self.pending = handle.getListState("pending", PENDING)
+        self.last = handle.getValueState("last", "at long")
+
+    @staticmethod
+    def earliest(rows: pd.DataFrame, value: str) -> tuple | None:
+        """(order_idx, snippet_id, value) of the first statement; ties go to the least value."""
+        rows = rows[rows["order_idx"].notna()]
+        if rows.empty:
+            return None
+        rows = rows[rows["order_idx"] == rows["order_idx"].min()]
+        return min((int(o), s, v) for o, s, v in zip(rows["order_idx"], rows["snippet_id"], rows[value], strict=True))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        last = self.last.get()
+        newest = last[0] if last else None
+        for batch in rows:
+            at = int(batch[self.ts].max().timestamp() * 1000)
+            newest = at if newest is None else max(newest, at)
+            declared = batch[(batch["kind"] == "declaration") & batch["symbol"].notna()]
+            for symbol, own in declared.groupby("symbol"):
+                self.merge(symbol, own)
+            waits = batch[batch["kind"].isin(["use", "obligation"])]
+            if len(waits):
+                self.pending.appendList([self.row(w) for w in waits[[f.split()[0] for f in PENDING.split(", ")]].itertuples(index=False)])
+        if not last or newest > last[0]:
+            if last:
+                self.handle.deleteTimer(last[0] + self.gap)
+            self.handle.registerTimer(newest + self.gap)
+            self.last.update((newest,))
+        return iter(())
+
+    @staticmethod
+    def row(w) -> tuple:
+        return tuple(list(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if pd.isna(v) else v for v in (w.kind, w.symbol, w.snippet_id, w.order_idx if pd.isna(w.order_idx) else int(w.order_idx), w.obligation_id, w.need))
+
+    def merge(self, symbol: str, own: pd.DataFrame) -> None:
+        held = self.facts.getValue((symbol,)) if self.facts.containsKey((symbol,)) else (None,) * 9
+        out: list = []
+        for i, (value, rows) in enumerate((("domain", own), ("domain", own[own["domain"] != "unknown"]), ("definition", own[own["definition"].notna()]))):
+            old = tuple(held[3 * i : 3 * i + 3])
+            both = [t for t in (old if old[0] is not None else None, self.earliest(rows, value)) if t]
+            out += min(both) if both else (None, None, None)
+        self.facts.updateValue((symbol,), tuple(out))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        released = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms", tz="UTC")
+        facts = {s[0]: tuple(f) for s, f in self.facts.iterator()}
+
+        def known(symbol) -> tuple:
+            f = facts.get(symbol)
+            return (f[5] or "unknown", f[3], f[8], f[6], f[1], f[0], f[2] == "unknown") if f else (None,) * 7
+
+        rows = [("symbol", s, None, None, None, None, *known(s)) for s in facts]
+        rows += [(*p[:5], None if p[5] is None else list(p[5]), *known(p[1])) for p in map(tuple, self.pending.get())]
+        for state in (self.facts, self.pending, self.last):
+            state.clear()
+        names = [f.split()[0] for f in f"{PENDING}, {FACTS}".split(", ")]
+        out = pd.DataFrame(rows, columns=names).astype(object)
+        for c in ("order_idx", "domain_from", "defined_from", "first_seen"):
+            out[c] = out[c].astype("Int64")
+        out["began_unknown"] = out["began_unknown"].astype("boolean")
+        out.insert(0, "paper_id", key[0])
+        out["released"] = released
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def live_context(events: DataFrame, ts: str = "ts", delay: str = "10 minutes", gap_minutes: int = 30, shards: int = 1) -> DataFrame:
+    """What is known of each symbol, at each use and for each obligation, once a document is finished.
+
+    A document is finished when none of its rows has come for ``gap_minutes`` of event time and the watermark, ``delay``
+    behind the newest row, has passed that point; then its rows are emitted and its state is gone. Rows may arrive
+    in any order; what comes later than the watermark is dropped, and a row after the end begins the document anew.
+    ``shards`` spreads a document's symbols over so many keys, for documents of many rows; each shard
+    then also sees the times of all the document's rows, so that all finish together.
+    Read the result through ``released_symbols``, ``released_uses`` and ``released_obligations``.
+    """
+    own = F.pmod(F.xxhash64(F.coalesce("symbol", F.lit(""))), F.lit(shards)).cast("int")
+    rows = events.withWatermark(ts, delay)
+    if shards > 1:
+        rows = rows.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+        keep = F.col("shard") == own
+        rows = rows.withColumns({c: F.when(keep, F.col(c)) for c in ("kind", "snippet_id", "order_idx", "domain", "definition", "obligation_id", "need")})
+    else:
+        rows = rows.withColumn("shard", F.lit(0))
+    return rows.groupBy("paper_id", "shard").transformWithStateInPandas(SymbolState(ts, gap_minutes * 60_000), RELEASED, "Append", "EventTime", eventTimeColumnName="released")
+
+
+def released_symbols(released: DataFrame) -> DataFrame:
+    """The rows of ``context.merge_declarations``."""
+    return released.where("kind = 'symbol'").select("paper_id", "symbol", *[f.split()[0] for f in FACTS.split(", ")])
+
+
+def released_uses(released: DataFrame) -> DataFrame:
+    """The rows of ``context.context_before``."""
+    return as_of(released.where("kind = 'use'"))
+
+
+def released_obligations(released: DataFrame) -> DataFrame:
+    """The rows of ``context.resolve_obligations``: the symbols' shards of a document meet, all having the same release time."""
+    rows = resolution(released.where("kind = 'obligation'").withColumnRenamed("need", "_need"))
+    return first_resolution(rows, "paper_id", "obligation_id", "released").drop("released")
