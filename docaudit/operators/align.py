@@ -188,8 +188,8 @@ def only_category(df: DataFrame, category: str) -> DataFrame:
     return df.where(F.col("error_category") == category)
 
 
-def sanitize_matches(raw: Column, n_annotations: Column, n_predictions: Column) -> Column:
-    """Judge pairs with both indices in range, where the first pair to use an index wins."""
+def valid_pairs(raw: Column, n_annotations: Column, n_predictions: Column) -> Column:
+    """A judge's pairs with both indices in range, as listed."""
     parsed = F.coalesce(F.from_json(raw, MATCHES), F.from_json(F.lit("[]"), MATCHES))
     pairs = F.transform(
         parsed,
@@ -199,30 +199,44 @@ def sanitize_matches(raw: Column, n_annotations: Column, n_predictions: Column)
             F.coalesce(m["reasoning"], F.lit("")).alias("reasoning"),
         ),
     )
-    valid = F.filter(
+    return F.filter(
         pairs,
         lambda m: m["ann_idx"].isNotNull() & m["pred_idx"].isNotNull()
         & (m["ann_idx"] >= 0) & (m["ann_idx"] < n_annotations)
         & (m["pred_idx"] >= 0) & (m["pred_idx"] < n_predictions),
     )
 
-    def keep(acc: Column, m: Column) -> Column:
-        taken = F.exists(acc, lambda k: (k["ann_idx"] == m["ann_idx"]) | (k["pred_idx"] == m["pred_idx"]))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(m)))
 
-    return F.aggregate(
-        valid, F.expr("cast(array() as array<struct<ann_idx: int, pred_idx: int, reasoning: string>>)"), keep
-    )
-
-
-def judged_matches(judged: DataFrame) -> DataFrame:
-    """Pairs of sanitized judge answers: columns paper_id, matches, n_annotations, n_predictions.
+def first_wins(pairs: DataFrame, key: str, one: str, two: str, order: str) -> DataFrame:
+    """The pairs that stay if, in ``order`` (different numbers within a key), each takes its two indices unless one is taken.
 
-    A document whose answer failed has null matches and gives no rows here.
+    In each round a pair that comes first among the open pairs of both its indices is taken, since nothing open can
+    precede it, and the pairs that share an index with one taken are closed. Only open pairs enter the next
+    round; a round is saved. No task holds the pairs of a document, and no list is searched: minima and joins only.
     """
+    open_, won = stored(pairs, "pairs"), None
+    while not open_.isEmpty():
+        firsts = [open_.groupBy(key, i).agg(F.min(order).alias(order)).select(key, order) for i in (one, two)]
+        taken = stored(open_.join(firsts[0], [key, order], "left_semi").join(firsts[1], [key, order], "left_semi"), "pairs")
+        won = taken if won is None else won.unionByName(taken)
+        for i in (one, two):
+            open_ = open_.join(taken.select(key, i), [key, i], "left_anti")
+        open_ = stored(open_.select(*pairs.columns), "pairs")
+    return open_ if won is None else won
+
+
+def judged_pairs(judged: DataFrame) -> DataFrame:
+    """paper_id, ann_idx, pred_idx, reasoning of sanitized judge answers: columns paper_id, matches, n_annotations,
+    n_predictions, one row per document. A document whose answer failed has null matches and gives no rows."""
     ok = judged.where(F.col("matches").isNotNull())
-    pairs = sanitize_matches(F.col("matches"), F.col("n_annotations"), F.col("n_predictions"))
-    return ok.select("paper_id", F.inline_outer(pairs)).where(F.col("pred_idx").isNotNull()).select(
+    each = ok.select("paper_id", F.posexplode_outer(valid_pairs(F.col("matches"), F.col("n_annotations"), F.col("n_predictions"))).alias("listed", "m"))
+    pairs = each.where(F.col("m").isNotNull()).select("paper_id", "listed", "m.*")
+    return first_wins(pairs, "paper_id", "ann_idx", "pred_idx", "listed").drop("listed")
+
+
+def judged_matches(judged: DataFrame) -> DataFrame:
+    """The pairs of sanitized judge answers as matches."""
+    return judged_pairs(judged).select(
         "paper_id",
         F.col("pred_idx").cast("bigint").alias("pred_idx"),
         F.col("ann_idx").cast("bigint").alias("ann_idx"),
@@ -243,7 +257,7 @@ def judge_payloads(preds: DataFrame, anns: DataFrame, size: int = 500) -> DataFr
     """What a judge reads, as JSON arrays per document and side, in pages of bounded length.
 
     Items carry their index in the document. A judge answers with these for any pair of pages; the
-    answers of a document, put together, go through ``sanitize_matches`` as one.
+    answers of a document, put together, go through ``judged_pairs`` as one.
     """
     a = pages(
         anns, ["paper_id"], "ann_idx",

@@ -19,7 +19,7 @@ from docaudit.constants import CATEGORY_PROOF, DOMAIN_IMPLIES, OBLIGATION_RULES
 from docaudit.functions.text import contains_any
 from docaudit.operators.claims import lookup_lists
 from docaudit.operators.ranking import position
-from docaudit.session import ensure_checkpoint_dir
+from docaudit.session import stored
 
 NO_STRINGS = "cast(array() as array<string>)"
 LAYERS = ["symbolic", "dimensional", "side_condition", "numeric"]
@@ -140,27 +140,22 @@ def symbol_sources(merged: DataFrame) -> DataFrame:
 def transitive_dependencies(edges: DataFrame) -> DataFrame:
     """All snippets reachable from each snippet, itself excluded; cycles end by themselves.
 
-    Each round extends only the pairs found in the round before, drops pairs known
-    already, and is checkpointed, so lineage stays short and a lost executor costs one
-    round at most. A pair is produced once per last edge, not once per path.
+    Reach doubles: with all pairs known up to a distance of n, those beyond it up to 2n have a snippet exactly n away
+    on their shortest way, so pairs of distance n joined with all known pairs give them. Rounds grow with the
+    logarithm of the longest shortest way, and on a chain each pair is made once. Each round is saved, so
+    lineage stays short and a lost executor costs one round at most.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
-    step = edges.select("paper_id", F.col("from_snippet").alias("a"), F.col("to_snippet").alias("b")).distinct().checkpoint()
-    found = [step]
-    fresh = step
+    step = edges.select("paper_id", F.col("from_snippet").alias("a"), F.col("to_snippet").alias("b"), F.lit(1).cast("bigint").alias("far"))
+    known = stored(step.where(F.col("a") != F.col("b")).distinct(), "reach")
+    reach = 1
     while True:
-        longer = (
-            fresh.join(step.select("paper_id", F.col("a").alias("b"), F.col("b").alias("c")), ["paper_id", "b"])
-            .select("paper_id", "a", F.col("c").alias("b"))
-            .distinct()
-        )
-        known = reduce(DataFrame.unionByName, found)
-        fresh = longer.join(known, ["paper_id", "a", "b"], "left_anti").checkpoint()
+        onward = known.select("paper_id", F.col("a").alias("b"), F.col("b").alias("c"), F.col("far").alias("rest"))
+        longer = known.where(F.col("far") == reach).join(onward, ["paper_id", "b"]).where(F.col("a") != F.col("c"))
+        longer = longer.groupBy("paper_id", "a", F.col("c").alias("b")).agg((F.min("rest") + reach).alias("far"))
+        fresh = stored(longer.join(known, ["paper_id", "a", "b"], "left_anti").select(*known.columns), "reach")
         if fresh.isEmpty():
-            break
-        found.append(fresh)
-    pairs = reduce(DataFrame.unionByName, found).where(F.col("a") != F.col("b"))
-    return pairs.select("paper_id", F.col("a").alias("snippet_id"), F.col("b").alias("depends_on"))
+            return known.select("paper_id", F.col("a").alias("snippet_id"), F.col("b").alias("depends_on"))
+        known, reach = known.unionByName(fresh), 2 * reach
 
 
 def definitive_layer(layers: DataFrame, key: str = "snippet_id") -> DataFrame:

@@ -36,7 +36,7 @@ def _(spark, sf):
 
 
 @query("case_scan", """
-SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS n_steps, max(length(text))::BIGINT AS longest FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id""")
+SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS n_steps, max(length(text))::BIGINT AS longest, CASE conv_id % 2 WHEN 0 THEN 'math' ELSE 'gsm8k' END AS split FROM conversations GROUP BY conv_id""")
 def _(spark, sf):
     c = inputs.table(spark, sf, "conversations")
     steps = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s"))
@@ -46,7 +46,8 @@ def _(spark, sf):
     )
     path = shared_path(spark, "cases")
     cases.write.partitionBy("split").parquet(path)
-    return readers.scan_cases(spark, path, "math").select("id", F.size("steps").alias("n_steps"), F.array_max(F.transform("steps", F.length)).alias("longest"))
+    parts = [readers.scan_cases(spark, path, split).withColumn("split", F.lit(split)) for split in ("math", "gsm8k")]
+    return parts[0].unionByName(parts[1]).select("id", F.size("steps").alias("n_steps"), F.array_max(F.transform("steps", F.length)).alias("longest"), "split")
 
 
 @query("metrics_json", """
