@@ -33,18 +33,36 @@ def contains_any(text: Column, words: list[str]) -> Column:
     return hit
 
 
+SPAN_GROUP = 256  # matches whose offsets one fold adds up
+NO_SPANS = "cast(array() as array<struct<hit: string, start_pos: int, end_pos: int>>)"
+
+
+def once(value: Column, of) -> Column:
+    """of(value), with the value computed once: in a lambda's body an expression is computed at each call."""
+    return F.transform(F.array(value), of)[0]
+
+
+def cut_every(text: Column, n: int) -> Column:
+    """The text in parts of ``n`` characters, the last one shorter, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{n}}}"), F.lit(0))
+
+
+def running(values: Column) -> Column:
+    """0 and the running sums of a few integers."""
+    return F.aggregate(values, F.array(F.lit(0)), lambda acc, v: F.concat(acc, F.array(F.element_at(acc, -1) + v)))
+
+
 def spans(text: Column, pattern: str) -> Column:
     """All matches of ``pattern`` with 0-based start and end offsets, in order.
 
     The text splits into gaps around the same matches that ``regexp_extract_all``
-    lists, so offsets are running sums of the two lengths. No UDF is needed.
+    lists, so offsets are running sums of the two lengths. A fold copies what it has
+    made at each step, so matches are added up in groups of SPAN_GROUP, and the groups'
+    lengths after that: time grows in proportion to the matches. No UDF is needed.
     """
     gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr(
-        "named_struct('pos', 0, 'out',"
-        " cast(array() as array<struct<hit: string, start_pos: int, end_pos: int>>))"
-    )
+    empty = F.expr(f"named_struct('pos', 0, 'out', {NO_SPANS})")
 
     def step(acc: Column, pair: Column) -> Column:
         start = acc["pos"] + F.length(pair["gap"])
@@ -56,14 +74,31 @@ def spans(text: Column, pattern: str) -> Column:
             end.alias("pos"), F.concat(acc["out"], F.array(row)).alias("out")
         )
 
+    def shifted(group: Column, by: Column) -> Column:
+        return F.transform(
+            group["out"],
+            lambda s: F.struct(s["hit"].alias("hit"), (s["start_pos"] + by).alias("start_pos"), (s["end_pos"] + by).alias("end_pos")),
+        )
+
+    def grouped(pairs: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(pairs), F.lit(SPAN_GROUP))
+        return F.transform(starts, lambda at: F.aggregate(F.slice(pairs, at, F.lit(SPAN_GROUP)), empty, step))
+
+    def joined(groups: Column) -> Column:
+        offsets = running(F.transform(groups, lambda g: g["pos"]))
+        return F.flatten(F.zip_with(groups, F.slice(offsets, F.lit(1), F.size(groups)), shifted))
+
     pairs = F.zip_with(
         F.slice(gaps, F.lit(1), F.size(hits)),
         hits,
         lambda g, h: F.struct(g.alias("gap"), h.alias("hit")),
     )
-    return F.when(
-        F.size(hits) > 0, F.aggregate(pairs, empty, step, lambda acc: acc["out"])
-    ).otherwise(F.expr("cast(array() as array<struct<hit: string, start_pos: int, end_pos: int>>)"))
+
+    def added(all_: Column) -> Column:
+        few = F.aggregate(all_, empty, step, lambda acc: acc["out"])
+        return F.when(F.size(all_) <= SPAN_GROUP, few).otherwise(once(grouped(all_), joined))
+
+    return F.when(F.size(hits) > 0, once(pairs, added)).otherwise(F.expr(NO_SPANS))
 
 
 def between(text: Column, start: Column, end: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docaudit.constants import (
     CHUNK_CHARS, CHUNK_OVERLAP, OVERLAP_CHARS, REVIEW_CHARS, REVIEW_FLOOR_CHARS, SECTION_CHARS, SNIPPET_CHARS,
 )
-from docaudit.functions.text import head, strip, tail
+from docaudit.functions.text import cut_every, head, once, strip, tail
 from docaudit.operators import extract
 
 # order of the families inside a document
@@ -236,41 +236,46 @@ def line_snippets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def windows(text: Column, size: int = SNIPPET_CHARS, overlap: int = OVERLAP_CHARS) -> Column:
     """Overlapping pieces of ``size`` characters; a piece ends at its last blank line
-    if that lies beyond its middle. Without blank lines the cut points are a sequence."""
+    if that lies beyond its middle. Without blank lines the cut points are a sequence.
+
+    A character's place in a text is found by going there from its beginning, so the text is
+    cut into pages first; a piece lies on two of them, and time grows with the text, not its square.
+    """
     if overlap < 0 or 2 * overlap >= size:
         raise ValueError("overlap must be less than half of the size")
-    length = F.length(text)
-    step = size - overlap
-    even = F.transform(
-        F.sequence(F.lit(0), F.greatest(length - overlap - 1, F.lit(0)), F.lit(step)),
-        lambda s: F.substring(text, s + 1, F.lit(size)),
-    )
-
-    def advance(acc: Column, _: Column) -> Column:
-        start = acc["at"]
-        piece = F.substring(text, start + 1, F.lit(size))
-        last = start + size >= length
-        back = F.locate("\n\n", F.reverse(piece))
-        cut = F.length(piece) - back - 1
-        keep = F.when(~last & (back > 0) & (cut > size // 2), cut).otherwise(F.lit(size))
-        moved = F.struct(
-            F.when(last, length + 1).otherwise(start + keep - overlap).cast("int").alias("at"),
-            F.concat(acc["out"], F.array(F.substring(text, start + 1, keep))).alias("out"),
-        )
-        return F.when(start > length, acc).otherwise(moved)
-
-    least = size // 2 + 1 - overlap
-    turns = F.sequence(F.lit(1), F.floor(length / least).cast("int") + 2)
-    ragged = F.aggregate(
-        turns,
-        F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))"),
-        advance,
-        lambda acc: acc["out"],
-    )
-    return (
-        F.when(length <= size, F.array(text))
-        .when(F.contains(text, F.lit("\n\n")), ragged)
-        .otherwise(even)
+    step, least = size - overlap, size // 2 + 1 - overlap
+
+    def piece(doc: Column, start: Column) -> Column:
+        page = F.floor(start / size).cast("int")
+        near = F.concat(F.coalesce(F.get(doc["pages"], page), F.lit("")), F.coalesce(F.get(doc["pages"], page + 1), F.lit("")))
+        return F.substring(near, start - page * size + 1, F.lit(size))
+
+    def even(doc: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(doc["length"] - overlap - 1, F.lit(0)), F.lit(step))
+        return F.transform(starts, lambda s: piece(doc, s))
+
+    def ragged(doc: Column) -> Column:
+        def advance(acc: Column, _: Column) -> Column:
+            start = acc["at"]
+            last = start + size >= doc["length"]
+
+            def moved(whole: Column) -> Column:
+                back = F.locate("\n\n", F.reverse(whole))
+                cut = F.length(whole) - back - 1
+                keep = F.when(~last & (back > 0) & (cut > size // 2), cut).otherwise(F.lit(size))
+                return F.struct(
+                    F.when(last, doc["length"] + 1).otherwise(start + keep - overlap).cast("int").alias("at"),
+                    F.concat(acc["out"], F.array(F.substring(whole, F.lit(1), keep))).alias("out"),
+                )
+
+            return F.when(start > doc["length"], acc).otherwise(once(piece(doc, start), moved))
+
+        turns = F.sequence(F.lit(1), F.floor(doc["length"] / least).cast("int") + 2)
+        return F.aggregate(turns, F.expr("named_struct('at', 0, 'out', cast(array() as array<string>))"), advance, lambda acc: acc["out"])
+
+    doc = F.struct(cut_every(text, size).alias("pages"), F.length(text).alias("length"))
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(
+        once(doc, lambda d: F.when(F.contains(text, F.lit("\n\n")), ragged(d)).otherwise(even(d)))
     )
 
 
@@ -279,12 +284,6 @@ def chunks(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVER
     ``max_chars``; each chunk after the first starts with the end of the one before."""
     body = strip(F.coalesce(text, F.lit("")))
 
-    def slices(s: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1)), F.lit(max_chars)),
-            lambda i: F.substring(s, i, F.lit(max_chars)),
-        )
-
     def pieces(values: Column, finer) -> Column:
         clean = F.filter(F.transform(values, strip), lambda v: v != "")
         return F.flatten(
@@ -293,7 +292,7 @@ def chunks(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVER
 
     units = pieces(
         F.split(body, r"\n\s*\n"),
-        lambda para: pieces(F.split(para, r"(?<=[.!?])\s+"), slices),
+        lambda para: pieces(F.split(para, r"(?<=[.!?])\s+"), lambda s: cut_every(s, max_chars)),
     )
 
     def pack(acc: Column, n: Column) -> Column:
@@ -312,24 +311,25 @@ def chunks(text: Column, max_chars: int = CHUNK_CHARS, overlap: int = CHUNK_OVER
         )
         return F.when(fits, grown).otherwise(fresh)
 
-    bounds = F.aggregate(
-        F.transform(units, F.length),
-        F.expr("named_struct('len', 0, 'at', 1, 'n', 0, 'out', cast(array() as array<struct<at: int, n: int>>))"),
-        pack,
-        lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["n"].alias("n")))),
-    )
-    packed = F.transform(bounds, lambda b: F.array_join(F.slice(units, b["at"], b["n"]), "\n"))
+    def bounds(lengths: Column) -> Column:
+        start = F.expr("named_struct('len', 0, 'at', 1, 'n', 0, 'out', cast(array() as array<struct<at: int, n: int>>))")
+        return F.aggregate(lengths, start, pack, lambda acc: F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), acc["n"].alias("n")))))
+
+    def joined(all_: Column) -> Column:
+        return F.transform(bounds(F.transform(all_, F.length)), lambda b: F.array_join(F.slice(all_, b["at"], b["n"]), "\n"))
+
+    packed = once(units, joined)
     if overlap > 0:
         # the previous chunk is read from the same array, by position
-        packed = F.transform(
-            F.array(packed),
+        packed = once(
+            packed,
             lambda all_: F.transform(
                 all_,
                 lambda c, i: F.when(i == 0, c).otherwise(
                     F.concat(tail(F.get(all_, i - 1), overlap), F.lit("\n"), c)
                 ),
             ),
-        )[0]
+        )
     return F.when(F.length(body) <= max_chars, F.array(body)).otherwise(packed)
 
 
