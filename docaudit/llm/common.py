@@ -32,6 +32,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """``stem``, made longer until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def text_key(text: Column) -> Column:
     """Two hashes of a text: rows with equal texts share their hits."""
     text = F.coalesce(text.cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import documents, stored, text_key
+from docaudit.llm.common import documents, free_name, stored, text_key
 
 SPAN = 10  # words of a window
 GRAM = 5  # words of a fingerprinted gram; any SPAN words hold a whole run of SPAN - GRAM + 1 grams
@@ -117,11 +117,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that share no window with the benchmark, with all their columns."""
+    """The documents that share no window with the benchmark, with all their columns, whatever their names.
+
+    A null or empty text has no words and stays, as do all rows if the benchmark has none; repeated rows stay or go together.
+    """
     keyed = docs.select(text_key(F.col("text")).alias("key"), words_of(F.col("text")).alias("words"))
     hits = window_hits(keyed, stored(benchmark_windows(benchmark), "benchmark-items"))
-    hit = stored(hits.select(F.col("key").alias("hit_key")).distinct(), "benchmark-hits")
-    return docs.join(hit, text_key(F.col("text")) == F.col("hit_key"), "left_anti")
+    name = free_name(docs, "hit_key")
+    hit = stored(hits.select(F.col("key").alias(name)).distinct(), "benchmark-hits")
+    return docs.join(hit, text_key(F.col("text")) == F.col(name), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf: str) -> DataFrame:

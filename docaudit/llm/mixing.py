@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import documents, stored, text_key
+from docaudit.llm.common import documents, free_name, stored, text_key
 
 BLANKS = r"[\x20\x09-\x0D]+"
 DOMAINS = ("toxic", "poor", "plain")
@@ -211,14 +211,18 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float = BUDGET) -> DataFrame:
-    """The documents of a positive rate, with all their columns, rate and expected_tokens."""
+    """The documents of a positive rate, with all their columns, rate and expected_tokens, which replace columns of these names.
+
+    Rows of one text have one rate; a null text counts as empty. An empty table gives no rows.
+    """
     keyed = docs.select("doc_id", "text", text_key(F.col("text")).alias("key"))
     rows = stored(posteriors(keyed, labels, "key"), "mixing-posteriors")
     steps = fit_rates(rows, targets or TARGETS, budget)
     rates = rows.dropDuplicates(["key"]).withColumn("rate", after(steps, F.lit(budget)))
-    rates = stored(rates.select(F.col("key").alias("rate_key"), "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens")), "mixing-rates")
+    name = free_name(docs, "rate_key")
+    rates = stored(rates.select(F.col("key").alias(name), "rate", (F.col("rate") * F.col("n_tokens")).alias("expected_tokens")), "mixing-rates")
     rates = rates.filter("rate > 0")
-    return docs.drop("rate", "expected_tokens").join(rates, text_key(F.col("text")) == F.col("rate_key")).drop("rate_key")
+    return docs.drop("rate", "expected_tokens").join(rates, text_key(F.col("text")) == F.col(name)).drop(name)
 
 
 def op5_mixing(spark: SparkSession, sf: str) -> DataFrame:

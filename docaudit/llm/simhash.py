@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docaudit.llm.common import documents, stored
+from docaudit.llm.common import documents, free_name, stored
 
 SEED = 42
 
@@ -196,8 +196,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, size: int = 3) -> DataFram
 
 def one_of_each(docs: DataFrame, radius: int = 2) -> DataFrame:
     """The documents that are the first of their component; rows without a doc_id stay."""
-    kept = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(stored(kept, "simhash-kept"), F.col("doc_id") == F.col("kept_id"), "left_semi").unionByName(docs.filter("doc_id is null"))
+    name = free_name(docs, "kept_id")
+    kept = near_duplicates(docs, radius).filter("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(stored(kept, "simhash-kept"), F.col("doc_id") == F.col(name), "left_semi").unionByName(docs.filter("doc_id is null"))
 
 
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:

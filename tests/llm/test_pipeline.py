@@ -1,5 +1,7 @@
 """The pipeline's stages against the operators one by one, on a small corpus."""
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 import corpus_pipeline
 from docaudit.llm import decontaminate, mixing, secrets, toxicity
@@ -42,3 +44,14 @@ def test_stages(spark, tmp_path):
         docs = out
     assert 0 < docs.count() < before
     assert set(columns) | {"rate", "expected_tokens"} == set(docs.columns)
+
+
+def test_stages_with_clashing_names_and_without_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    plain = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    named = docs.withColumns({c: F.lit("?") for c in ("kept_id", "hit_key", "rate_key", "key", "k", "root", "first", "score", "held_out", "n")})
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, named, SF)
+        assert {r.doc_id for r in got.select("doc_id").collect()} == {r.doc_id for r in plain[name].select("doc_id").collect()}, name
+        assert set(named.columns) <= set(got.columns)
+        assert stage(spark, docs.filter("false"), SF).count() == 0, name
