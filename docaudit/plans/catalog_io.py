@@ -35,6 +35,19 @@ def _(spark, sf):
     )
 
 
+@query("array_scan", """
+SELECT doc_id::VARCHAR AS paper_id, sha256(text) AS title_digest, lang AS paper_category, n_chars AS total_snippets, (doc_id % 3 + 1)::BIGINT AS n_errors FROM documents""")
+def _(spark, sf):
+    d, i = inputs.table(spark, sf, "documents"), F.col("doc_id")
+    found = F.transform(F.sequence(F.lit(0), i % 3), lambda n: F.struct(F.concat(F.lit('"}],{ \\'), n.cast("string")).alias("error_category"), F.lit("Lemma 1").alias("error_location")))
+    row = F.struct(i.cast("string").alias("paper_id"), F.col("text").alias("title"), F.col("lang").alias("paper_category"), found.alias("predicted_errors"), F.col("n_chars").alias("total_snippets"))
+    arrays = d.groupBy(F.floor(i / 100)).agg(F.to_json(F.collect_list(row), {"pretty": "true"}).alias("value"))
+    path = shared_path(spark, "arrays")
+    arrays.select("value").write.text(path)
+    back = readers.scan_predictions(spark, path)
+    return back.select("paper_id", F.sha2("title", 256).alias("title_digest"), "paper_category", "total_snippets", F.size("predicted_errors").alias("n_errors"))
+
+
 @query("case_scan", """
 SELECT conv_id::VARCHAR AS id, count(*)::BIGINT AS n_steps, max(length(text))::BIGINT AS longest, CASE conv_id % 2 WHEN 0 THEN 'math' ELSE 'gsm8k' END AS split FROM conversations GROUP BY conv_id""")
 def _(spark, sf):

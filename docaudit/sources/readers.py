@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docaudit.constants import REPORT_SKIP_FILES, STEP_SPLITS
 from docaudit.schemas import CORPUS_FILE, PREDICTIONS, REPORTS, STEP_CASES
+from docaudit.sources.arrays import scan_arrays
 
 
 def scan_corpus(spark: SparkSession, path: str, schema: str = CORPUS_FILE) -> DataFrame:
@@ -22,8 +23,8 @@ def scan_corpus(spark: SparkSession, path: str, schema: str = CORPUS_FILE) -> Da
 
 
 def scan_predictions(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Saved paper predictions: one JSON array per file, or JSON lines (which split)."""
-    return spark.read.schema(PREDICTIONS).option("multiLine", not lines).json(path)
+    """Saved paper predictions: one JSON array per file, of any length, or JSON lines."""
+    return spark.read.schema(PREDICTIONS).json(path) if lines else scan_arrays(spark, path, PREDICTIONS)
 
 
 def scan_cases(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
