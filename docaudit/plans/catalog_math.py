@@ -325,10 +325,10 @@ sy AS (SELECT paper_id, 'symbols' AS section, row_number() OVER (PARTITION BY pa
   '- ' || symbol || CASE WHEN domain <> 'unknown' AND definition IS NOT NULL THEN '  (domain=' || domain || ', defined_as=' || definition || ')' WHEN domain <> 'unknown' THEN '  (domain=' || domain || ')'
    WHEN definition IS NOT NULL THEN '  (defined_as=' || definition || ')' ELSE '' END AS line FROM merged),
 de AS (SELECT paper_id, 'definitions', row_number() OVER (PARTITION BY paper_id ORDER BY defined_from, symbol) AS rank, '- ' || symbol || ' = ' || definition FROM merged WHERE definition IS NOT NULL),
-asu AS (SELECT paper_id, 'assumptions', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '] ' || event_type FROM st WHERE event_type = 'signup'),
+asu AS (SELECT paper_id, 'assumptions', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '] ' || event_type FROM st),
 ob AS (SELECT paper_id, 'obligations', row_number() OVER (PARTITION BY paper_id ORDER BY order_idx DESC) AS rank, '- [' || snippet_id || '_cond] ' || {inputs.CONDITIONS!r}[k % 4 + 1] FROM st)
 SELECT paper_id, section, rank::BIGINT AS rank, line FROM (SELECT * FROM sy WHERE rank <= 20 UNION ALL SELECT * FROM de WHERE rank <= 10 UNION ALL SELECT * FROM asu WHERE rank <= 10 UNION ALL SELECT * FROM ob WHERE rank <= 5)""")
 def _(spark, sf):
     st = inputs.statements(spark, sf)
-    assumptions = st.where(F.col("event_type") == "signup").select("paper_id", "snippet_id", "order_idx", F.col("event_type").alias("description"))
+    assumptions = st.select("paper_id", "snippet_id", "order_idx", F.col("event_type").alias("description"))
     return context.context_digest(context.merge_declarations(inputs.declarations(st)), assumptions, inputs.obligations(st))
