@@ -175,7 +175,7 @@ def anchor_marks(docs: DataFrame, shared) -> DataFrame:
                     names=["grp", "context", "busy", "doc_id", "tag", "at", "state"],
                 )
 
-    rows = docs.mapInArrow(run, "grp long, context long, busy boolean, doc_id long, tag int, at int, state int")
+    rows = docs.mapInArrow(run, "grp long, context long, busy boolean, doc_id long, tag long, at int, state int")
     done = rows.filter("state > 0").select("doc_id", "tag", "at", (F.col("state") == 1).alias("settled"))
     open_ = rows.filter("state = 0").drop("state")
     same, group = W.partitionBy("grp", "context"), W.partitionBy("grp")
@@ -192,7 +192,7 @@ def window_marks(docs: DataFrame, marks: DataFrame, shared) -> DataFrame:
     A window belongs to its least anchor. It is extended to both sides at once: equal windows meet in
     one group, so copies cost a row each, not a row for each pair.
     """
-    wanted = marks.filter("not settled").groupBy("doc_id", "tag").agg(F.collect_list("at").alias("ats"))
+    wanted = marks.filter("not settled").groupBy("doc_id", "tag").agg(F.collect_set("at").alias("ats"))
     texts = docs.join(wanted, ["doc_id", "tag"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +223,7 @@ def window_marks(docs: DataFrame, marks: DataFrame, shared) -> DataFrame:
                     [pa.array(x[go]) for x in (signed(one), signed(two), doc, tag, place, state)], names=["one", "two", "doc_id", "tag", "at", "state"]
                 )
 
-    rows = texts.select("doc_id", "tag", "text", "ats").mapInArrow(run, "one long, two long, doc_id long, tag int, at int, state int")
+    rows = texts.select("doc_id", "tag", "text", "ats").mapInArrow(run, "one long, two long, doc_id long, tag long, at int, state int")
     first = F.min("doc_id").over(W.partitionBy("one", "two"))
     met = rows.filter("state = 0").withColumn("first", first).filter(F.col("doc_id") > F.col("first"))
     return met.select("doc_id", "tag", "at").unionByName(rows.filter("state = 1").select("doc_id", "tag", "at"))
@@ -258,12 +258,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A word goes if it lies in WINDOW consecutive words whose sequence also starts in a document with a smaller
     doc_id. Windows are judged on the input. Rows that repeat a doc_id are no earlier documents to each
-    other; a row without a doc_id is later than all others, and returned without one. A null or blank text has
-    no words. Other columns are ignored.
+    other; a row without a doc_id is later than all others, and returned without one. Texts of rows that share a doc_id, or
+    have none, are told apart by 64-bit hashes. A null or blank text has no words. Other columns are ignored.
     """
     last = F.lit(int(np.iinfo(np.int64).max))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), last).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("tag", F.hash("text"))  # parts rows of one doc_id with other texts
+    rows = rows.withColumn("tag", F.xxhash64("text"))  # parts rows of one doc_id with other texts
     found = busy_keys(rows).collect()  # 2 * SHARE keys of a kind at most
     busy = Busy(found)
     if found:

@@ -71,6 +71,15 @@ def test_substrings(docs, rows, none):
     assert substrings.without_repeats(none).count() == 0
 
 
+def test_substrings_of_rows_without_id(spark):
+    """Texts whose 32-bit hashes are equal are told apart, and equal rows do not lengthen each other's lists."""
+    texts = spark.range(300_000).selectExpr("concat_ws(' ', transform(sequence(1, 20), i -> concat('w', id, 'x', i))) AS text")
+    met = texts.groupBy(F.hash("text")).agg(F.min("text").alias("one"), F.max("text").alias("two")).where("one < two").orderBy("one").first()
+    docs = table(spark, [(1, met.one), (None, met.one), (None, met.one), (None, met.two)])
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.without_repeats(docs).collect())
+    assert got == Counter({(1, 20, 0): 1, (None, 20, 20): 2, (None, 20, 0): 1})
+
+
 def test_tokens(docs, rows, none):
     path = public_tokenizers.path(tokens.VOCABULARY)
     plain = Tokenizer.from_file(path)
