@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from docaudit.constants import MATCH_ACCEPT, MATCH_CATEGORY_BONUS
 from docaudit.functions.locations import location_score, match_key, with_location
 from docaudit.operators.ranking import pages
+from docaudit.operators.rounds import MOST_ROUNDS, in_rounds
 from docaudit.session import stored
 from docaudit.schemas import MATCHES
 
@@ -111,15 +112,25 @@ def _served(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["paper_id", "pred_idx", "ann_idx", "score"])
 
 
-def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT) -> DataFrame:
+AT_ONCE = 200_000  # rows of a document (annotations, value scores, predictions) that one task serves
+
+
+def served_in_order(rows: DataFrame) -> DataFrame:
+    """The matching of whole documents by a walk in order of pred_idx; a task holds one document's annotations and scores."""
+    ordered = rows.repartition("paper_id").sortWithinPartitions("paper_id", "kind", "idx")
+    kind = rows.schema["paper_id"].dataType.simpleString()
+    return ordered.mapInArrow(_served, f"paper_id {kind}, pred_idx bigint, ann_idx bigint, score double")
+
+
+def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCEPT, at_once: int = AT_ONCE, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """The greedy matching as (paper_id, pred_idx, ann_idx, score).
 
     Scores are computed once for each pair of distinct values of a document, by all tasks. A document
     with n annotations can match only its first n predictions of each value, since equal predictions
     have equal choices and the choices only shrink: predictions are cut to these before anything
-    else, by a group limit that runs ahead of the shuffle, so a task holds a
-    document's annotations and value scores while its predictions pass in order, which is the
-    meaning of the greedy matching.
+    else, by a group limit that runs ahead of the shuffle. Documents of up to ``at_once`` rows are then served
+    by a walk, a document a task; larger ones by all tasks in rounds (``rounds.in_rounds``), with equal results. What
+    ``most_rounds`` rounds leave open is walked as well.
     """
     p = preds.select("paper_id", F.col("pred_idx").cast("bigint").alias("idx"), _value().alias("value"))
     a = anns.select("paper_id", F.col("ann_idx").cast("bigint").alias("idx"), _value().alias("value"))
@@ -138,9 +149,16 @@ def greedy_matches(preds: DataFrame, anns: DataFrame, accept: float = MATCH_ACCE
         .unionByName(scores.select("paper_id", F.lit(1).alias("kind"), no_idx.alias("idx"), "value", "other", "score"))
         .unionByName(cut.select("paper_id", F.lit(2).alias("kind"), "idx", "value", no_text.alias("other"), no_score.alias("score")))
     )
-    ordered = rows.where(F.col("paper_id").isNotNull()).repartition("paper_id").sortWithinPartitions("paper_id", "kind", "idx")
-    kind = anns.schema["paper_id"].dataType.simpleString()
-    return ordered.mapInArrow(_served, f"paper_id {kind}, pred_idx bigint, ann_idx bigint, score double")
+    rows = stored(rows.where(F.col("paper_id").isNotNull()), "matching")
+    large = stored(rows.groupBy("paper_id").agg(F.count("*").alias("n")).where(F.col("n") > at_once).select("paper_id"), "large-documents")
+    if large.isEmpty():
+        return served_in_order(rows)
+    walked, rest = rows.join(large, "paper_id", "left_anti"), rows.join(large, "paper_id", "left_semi")
+    sides = [rest.where(F.col("kind") == k).select("paper_id", *c) for k, c in ((2, ["idx", "value"]), (0, ["idx", "value"]), (1, ["value", "other", "score"]))]
+    matched, open_ = in_rounds(*sides, most=most_rounds)
+    if open_ is not None:
+        walked = walked.unionByName(rows.join(open_, "paper_id", "left_semi"))
+    return served_in_order(walked).unionByName(matched)
 
 
 # What a row tells beside its place in the matching, where its side has it.

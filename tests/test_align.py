@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docaudit.functions.locations import location_score, match_key, with_location
-from docaudit.operators import align, metrics
+from docaudit.operators import align, metrics, rounds
 
 GT = "paper_id string, ann_idx long, error_category string, error_location string, error_severity string"
 PR = "paper_id string, pred_idx long, error_category string, error_location string"
@@ -56,6 +56,63 @@ def test_greedy_matches_walk(spark, crowd):
     assert got == expected
 
 
+@pytest.mark.parametrize(("at_once", "most"), [(0, 30), (0, 0), (0, 1), (60, 30)])
+def test_rounds_match_walk(spark, crowd, at_once, most):
+    """All documents in rounds; rounds given up at once or after one; only the large documents in rounds."""
+    preds, anns, expected = crowd
+    p, a = spark.createDataFrame(preds, PR), spark.createDataFrame(anns, GT)
+    found = align.greedy_matches(p, a, at_once=at_once, most_rounds=most).collect()
+    assert len(found) == len(expected)
+    assert {(r.paper_id, r.pred_idx, r.ann_idx, round(r.score, 9)) for r in found} == expected
+
+
+def walk(preds, anns, choices):
+    """The meaning: predictions in order, each takes the best free annotation, the first among equals."""
+    free, out = sorted(anns), []
+    for p, value in sorted(preds):
+        able = [(-choices[value, other], idx, other) for idx, other in free if (value, other) in choices]
+        if able:
+            score, idx, other = min(able)
+            free.remove((idx, other))
+            out.append((p, idx, -score))
+    return out
+
+
+def test_rounds_on_random_choices(spark):
+    """Few scores, so ties abound; values of equal choices; a document with over a third of all rows."""
+    rng = random.Random(8)
+    preds, anns, choices, expected = [], [], [], set()
+    for paper in range(25):
+        size = 150 if paper == 7 else rng.randint(0, 25)
+        values, others = [f"v{i}" for i in range(1 + size // 3)], [f"w{i}" for i in range(1 + size // 4)]
+        some = {(v, w): rng.choice([0.6, 0.75, 0.75, 1.0]) for v in values for w in others if rng.random() < 0.5}
+        for w in others:  # v0 and the last value choose alike
+            some.pop((values[-1], w), None)
+            if ("v0", w) in some:
+                some[values[-1], w] = some["v0", w]
+        own = [(i, rng.choice(values)) for i in rng.sample(range(1000), size)]
+        truth = [(i, rng.choice(others)) for i in rng.sample(range(1000), rng.randint(0, size))]
+        expected |= {(paper, *m) for m in walk(own, truth, some)}
+        preds += [(paper, *r) for r in own]
+        anns += [(paper, *r) for r in truth]
+        choices += [(paper, v, w, s) for (v, w), s in some.items()]
+    sides = [spark.createDataFrame(r, s).repartition(4) for r, s in ((preds, "paper_id int, idx long, value string"), (anns, "paper_id int, idx long, value string"), (choices, "paper_id int, value string, other string, score double"))]
+    matched, open_ = rounds.in_rounds(*sides)
+    assert open_ is None
+    assert sorted(map(tuple, matched.collect())) == sorted(expected)
+
+
+def test_one_class_needs_one_round(spark):
+    """Any number of predictions of equal choices make all their offers at once."""
+    n = 100_000
+    preds = spark.range(n).selectExpr("1 AS paper_id", "id AS idx", "concat('v', id % 3) AS value")
+    anns = spark.range(n // 2).selectExpr("1 AS paper_id", "id AS idx", "concat('w', id % 2) AS value")
+    choices = spark.createDataFrame([(1, f"v{i}", f"w{j}", 0.8) for i in range(3) for j in range(2)], "paper_id int, value string, other string, score double")
+    matched, open_ = rounds.in_rounds(preds, anns, choices, most=0)
+    assert open_ is None
+    assert matched.where("pred_idx = ann_idx").count() == matched.count() == n // 2
+
+
 def test_metric_identities(spark, crowd):
     preds, anns, expected = crowd
     out = align.align(spark.createDataFrame(preds, PR), spark.createDataFrame(anns, GT))
