@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docaudit.operators import blocks, extract
+from docaudit.operators import align, blocks, digests, extract
 from docaudit.plans import inputs
 from docaudit.plans.registry import ORACLES, query
 from docaudit.session import shared_path
@@ -83,3 +83,27 @@ def _(spark, sf):
     back = spark.read.schema(cases.schema)
     parts = [back.json(f"{path}/split={split}/results").withColumn("split", F.lit(split)) for split in ("math", "gsm8k")]
     return parts[0].unionByName(parts[1])
+
+
+@query("align_in_rounds", ORACLES["greedy_align"])
+def _(spark, sf):
+    preds, anns = inputs.predictions(spark, sf), inputs.annotations(spark, sf)
+    matched = align.greedy_matches(preds, anns, at_once=0)  # every document as a large one
+    out = align.outcomes(preds, anns, matched)
+    return out.withColumn("match_quality", F.round("match_quality", 6))
+
+
+@query("digest_before", f"""
+WITH {inputs.SYMBOLS_SQL},
+sy AS (SELECT st.paper_id, st.snippet_id, m.symbol, m.defined_from, CASE WHEN m.domain_from < st.order_idx THEN 'domain=' || m.domain END AS d, CASE WHEN m.defined_from < st.order_idx THEN m.definition END AS f
+  FROM st JOIN merged m ON m.paper_id = st.paper_id AND m.first_seen < st.order_idx),
+sl AS (SELECT paper_id, snippet_id, string_agg('- ' || symbol || CASE WHEN d IS NULL AND f IS NULL THEN '' ELSE '  (' || concat_ws(', ', d, 'defined_as=' || f) || ')' END, chr(10) ORDER BY symbol) AS symbols,
+  string_agg('- ' || symbol || ' = ' || f, chr(10) ORDER BY defined_from, symbol) AS definitions FROM sy GROUP BY 1, 2),
+ev AS (SELECT paper_id, snippet_id, order_idx, list('- [' || snippet_id || '] ' || event_type) OVER (PARTITION BY paper_id ORDER BY order_idx ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS a,
+  list('- [' || snippet_id || '_cond] ' || {inputs.CONDITIONS!r}[k % 4 + 1]) OVER (PARTITION BY paper_id ORDER BY order_idx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS o FROM st)
+SELECT paper_id, snippet_id, order_idx, concat_ws(chr(10), array_to_string(list_reverse(a), chr(10)), definitions, array_to_string(list_reverse(o), chr(10)), symbols) AS digest
+FROM ev LEFT JOIN sl USING (paper_id, snippet_id)""")
+def _(spark, sf):
+    st = inputs.statements(spark, sf)
+    assumptions = st.select("paper_id", "snippet_id", "order_idx", F.col("event_type").alias("description"))
+    return digests.digests_before(st, inputs.declarations(st), assumptions, inputs.obligations(st))
