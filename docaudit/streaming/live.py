@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from docaudit.operators.context import as_of, first_resolution, needed_predicates, resolution
 from docaudit.operators.findings import is_finding
+from docaudit.session import keep_state_in_rocksdb
 
 
 def read_json_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
@@ -173,8 +174,10 @@ def live_context(events: DataFrame, ts: str = "ts", delay: str = "10 minutes", g
     in any order; what comes later than the watermark is dropped, and a row after the end begins the document anew.
     ``shards`` spreads a document's symbols over so many keys, for documents of many rows; each shard
     then also sees the times of all the document's rows, so that all finish together.
+    The state has several parts, which Spark keeps in RocksDB only: a session with the default store is set to that.
     Read the result through ``released_symbols``, ``released_uses`` and ``released_obligations``.
     """
+    keep_state_in_rocksdb(events.sparkSession)
     own = F.pmod(F.xxhash64(F.coalesce("symbol", F.lit(""))), F.lit(shards)).cast("int")
     rows = events.withWatermark(ts, delay)
     if shards > 1:

@@ -106,3 +106,14 @@ def test_restart_and_released_state(spark, tables, tmp_path):
     assert got.select("paper_id").distinct().count() == 5
     held = spark.read.format("statestore").option("path", str(tmp_path / "c")).option("stateVarName", "last").load()
     assert {r["key"]["paper_id"] for r in held.select("key").collect()} == {"end"}  # finished documents hold no state
+
+
+def test_session_with_default_store(spark, tables, tmp_path):
+    declared, used, _ = tables
+    batches(tables, tmp_path / "in", 2)
+    plain = spark.newSession()
+    plain.conf.set("spark.sql.session.timeZone", "UTC")
+    plain.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    write(stream(plain, tmp_path / "in", 1, per_trigger=10), tmp_path / "rows", tmp_path / "c", availableNow=True)
+    got = spark.read.parquet(str(tmp_path / "rows"))
+    assert rows(live.released_uses(got)) == rows(context.context_before(used.drop("ts"), context.merge_declarations(declared)))
