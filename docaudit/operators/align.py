@@ -166,8 +166,11 @@ TOLD = ("confidence", "supporting_evidence", "verifier_name", "snippet_id")
 
 
 def outcomes(preds: DataFrame, anns: DataFrame, matches: DataFrame) -> DataFrame:
-    """Every prediction as TP or FP and every unmatched annotation as FN, with what each side tells."""
-    m = matches.withColumns({c: F.col(c).cast("bigint") for c in ("pred_idx", "ann_idx")})
+    """Every prediction as TP or FP and every unmatched annotation as FN, with what each side tells.
+
+    The matches are saved, since both sides read them and the walk through the documents is dear.
+    """
+    m = stored(matches.withColumns({c: F.col(c).cast("bigint") for c in ("pred_idx", "ann_idx")}), "matches")
     truth = dict(GROUND_TRUTH) | ({"error_annotation": "gt_annotation"} if "error_annotation" in anns.columns else {})
     gt = anns.select("paper_id", F.col("ann_idx").cast("bigint").alias("ann_idx"), *[F.col(column).alias(name) for column, name in truth.items()])
     told = [c for c in TOLD if c in preds.columns]

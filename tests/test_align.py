@@ -156,3 +156,21 @@ def test_judge_answers(spark):
     j = spark.createDataFrame([("p", raw, 2, 2), ("bad", None, 1, 1), ("odd", "{}", 1, 1)], "paper_id string, matches string, n_annotations int, n_predictions int")
     got = {(r.paper_id, r.pred_idx, r.ann_idx) for r in align.judged_matches(j).collect()}
     assert got == {("p", 1, 0), ("p", 0, 1)}
+
+
+def test_documents_are_walked_once(spark):
+    from docaudit.operators import align
+
+    walks = spark.sparkContext.accumulator(0)
+    preds = spark.createDataFrame([(1, i, "A", "Lemma 1") for i in range(3)], "paper_id long, pred_idx long, error_category string, error_location string")
+    anns = spark.createDataFrame([(1, i, "A", "Lemma 1", "errata") for i in range(5)], "paper_id long, ann_idx long, error_category string, error_location string, error_severity string")
+
+    def counted(batches):
+        for b in batches:
+            walks.add(b.num_rows)
+            yield b
+
+    matches = align.greedy_matches(preds, anns)
+    rows = align.outcomes(preds, anns, matches.mapInArrow(counted, matches.schema)).collect()
+    assert sorted(r.outcome for r in rows) == ["FN", "FN", "TP", "TP", "TP"]
+    assert walks.value == 3
