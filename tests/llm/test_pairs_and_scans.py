@@ -363,3 +363,22 @@ def test_sketch_is_retried_larger(spark):
 def test_frequent_keys_are_bounded():
     x = np.arange(10, dtype=np.uint64)
     assert len(substrings.least_of(x, 4)) == 7 and list(substrings.least_of(x, 4)) == list(range(7))
+
+
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), (F.col("id") % 2).cast("int").alias("toxic"))
+    chosen = toxicity.chosen_labels(labels).groupBy("role").count().collect()
+    seen = labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
+    assert {r.role for r in chosen} == {"count", "fit"} and sum(r["count"] for r in chosen) == seen > 40_000
+
+
+def test_toxicity_counts_by_force(spark):
+    rng = random.Random(3)
+    texts = [(i % 2, " ".join(rng.choice(["abcdef", "abcdeg", "abcdex", "b", "c"]) for _ in range(rng.randint(0, 12)))) for i in range(60)]
+    rows = toxicity.gram_counts(spark.createDataFrame(texts, "toxic int, text string").repartition(4)).collect()
+    grams = {(k, w[max(i - 2, 0) : i + 1], i == 0) for k, t in texts for w in [tuple(t.split())] for i in range(len(w))}
+    pairs = {(g[-2:] if not first else (None, g[-1])) for _, g, first in grams}
+    assert len(rows) == len(pairs)
+    assert sum(r.n0 + r.n1 for r in rows) == sum(len(g) == 3 for _, g, _ in grams) + sum(len(g) == 2 for _, g, _ in grams) + sum(first for _, _, first in grams)
+    heads = {(k, None if first else g[-2], g[-1][:5]) for k, g, first in grams}
+    assert [sum(bool(r[f"h{k}"]) for r in rows) for k in (0, 1)] == [sum(h[0] == k for h in heads) for k in (0, 1)]
