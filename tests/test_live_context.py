@@ -1,6 +1,7 @@
 """The streaming context against the batch operators, on a shuffled and late stream."""
 
 import json
+import os
 import random
 from collections import Counter
 
@@ -44,6 +45,12 @@ def tables(spark):
     return frame(declared, DECLARED), frame(used, USED), frame(obliged, OBLIGED)
 
 
+def dated(path, text):
+    """A file whose time tells its place by name: a stream reads files in order of time, and those written at once tie."""
+    path.write_text(text)
+    os.utime(path, (1_700_000_000 + 60 * int(path.stem),) * 2)
+
+
 def batches(tables, folder, seed):
     """Files of events: each document's rows shuffled, documents interleaved, then a row that ends them all."""
     rows = [r.asDict() for r in live.context_events(*tables).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).collect()]
@@ -55,7 +62,7 @@ def batches(tables, folder, seed):
     parts = [rows[i : i + size] for i in range(0, len(rows), size)]
     parts.append([{"paper_id": "end", "kind": "use", "symbol": "x", "snippet_id": "s", "order_idx": 0, "ts": "2025-01-01T00:00:00Z"}])
     for i, part in enumerate(parts):
-        (folder / f"{i:02d}.json").write_text("\n".join(json.dumps(r) for r in part))
+        dated(folder / f"{i:02d}.json", "\n".join(json.dumps(r) for r in part))
     return len(parts)
 
 
@@ -99,7 +106,7 @@ def test_restart_and_released_state(spark, tables, tmp_path):
     merged = context.merge_declarations(declared)
     for part in (names[: n // 2], names[n // 2 : n - 1], names[n - 1 :]):  # the query ends and starts again from its checkpoint
         for name in part:
-            (tmp_path / "in" / name).write_text((tmp_path / "all" / name).read_text())
+            dated(tmp_path / "in" / name, (tmp_path / "all" / name).read_text())
         write(stream(spark, tmp_path / "in", 2), tmp_path / "rows", tmp_path / "c", availableNow=True)
     got = spark.read.parquet(str(tmp_path / "rows"))
     assert rows(live.released_uses(got)) == rows(context.context_before(used.drop("ts"), merged))
