@@ -139,8 +139,8 @@ def sections(blocks: Blocks) -> DataFrame:
     each = each.select("paper_id", "doc_size", F.col("next_heads.start").alias("later"), F.posexplode("heads").alias("i", "h"), "heads")
     each = each.select("paper_id", "h.start", "h.stop", "h.hit", F.coalesce(F.get("heads", F.col("i") + 1)["start"], F.col("later"), F.col("doc_size")).alias("next_pos"))
     each = each.withColumn("place", F.when(F.coalesce(F.col("hit"), F.lit("")) == "", F.lit(-1).cast("bigint")).otherwise(F.col("start")))
-    each = filled(each.withColumn("content", F.lit(None).cast("string")), blocks, "place", {"content": ("stop", "next_pos")})
-    each = _numbered(each, "place")
+    each = _numbered(each, "place").withColumn("content", F.lit(None).cast("string"))  # numbered before the texts are there
+    each = filled(each, blocks, "place", {"content": ("stop", "next_pos")})
     full = F.col("hit").isNull()
     each = each.withColumn("full_text", F.col("content")).select("paper_id", "full_text", "content", _element("section", F.coalesce("hit", F.lit("")), next_pos=F.col("next_pos"), flag=full))
     columns = extract.section_columns() | {"content": F.when(F.col("e.flag"), F.col("content")).otherwise(strip(F.col("content")))}

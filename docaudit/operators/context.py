@@ -28,7 +28,7 @@ LAYERS = ["symbolic", "dimensional", "side_condition", "numeric"]
 def order_index(statements: DataFrame, seen: str = "pos") -> DataFrame:
     """Index of each snippet in its document by first appearance."""
     first = statements.groupBy("paper_id", "snippet_id").agg(F.min(seen).alias("_seen"))
-    return position(first, ["paper_id"], [F.col("_seen"), F.col("snippet_id")], "order_idx").drop("_seen")
+    return position(first, ["paper_id"], [F.col("_seen"), F.col("snippet_id")], "order_idx", drop=["_seen"])
 
 
 def merge_declarations(declarations: DataFrame) -> DataFrame:

@@ -2,33 +2,70 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docaudit.session import stored
 
 
-def position(df: DataFrame, keys: list[str], order: list[Column], name: str) -> DataFrame:
+def position(df: DataFrame, keys: list[str], order: list[Column], name: str, drop: Sequence[str] = ()) -> DataFrame:
     """Add the 0-based position of each row in its group under ``order`` (a total order,
-    written ascending: negate a number for descending).
+    written ascending: negate a number for descending). Columns named in ``drop`` serve the order only.
 
-    Rows are dealt out in ranges of (keys, order) and saved with the number of their range, so
-    the input is computed once. A row's position is its place in its group's part of the range,
-    and what the group has in the ranges before. No task sees more of a group than one range.
+    Rows are dealt out in ranges of (keys, order), sorted there and saved with their place in their group's
+    part of the range, so the input is computed and shuffled once. Of a range, only the first group can
+    have begun in earlier ones; what it has there is added from a table of a row a range. No task
+    sees more of a group than one range.
     """
-    ordered = df.withColumn("_ord", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
-    ordered = stored(ordered.repartitionByRange(*keys, "_ord").withColumn("_piece", F.spark_partition_id()), "ranges")
-    within = Window.partitionBy(*keys, "_piece").orderBy("_ord")
-    ranked = ordered.withColumn("_place", F.row_number().over(within).cast("bigint") - 1)
-    sizes = ordered.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).where(F.col("_before") > 0)
-    before = before.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_piece").alias("_p"), "_before")
-    same = F.col("_piece") == F.col("_p")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    placed = ranked.join(before, same, "left").withColumn(name, F.col("_place") + F.coalesce("_before", F.lit(0)))
-    return placed.select(*df.columns, name)
+    kept = [c for c in df.columns if c not in drop]
+    by = [*map(F.col, keys), *order]
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).select(*kept)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    rows = stored(rows.mapInArrow(_placed(keys), f"{types}, _place bigint, _first int, _end int"), "ranges")
+    opened = rows.where(F.col("_first").isNotNull() & (F.col("_place") == 0)).select(*keys, F.col("_first").alias("_p"), F.lit(None).cast("bigint").alias("_n"))
+    closed = rows.where(F.col("_end").isNotNull()).select(*keys, F.col("_end").alias("_p"), (F.col("_place") + 1).alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_p").rangeBetween(Window.unboundedPreceding, -1)
+    before = opened.unionByName(closed).withColumn("_before", F.sum("_n").over(earlier)).where(F.col("_n").isNull() & (F.col("_before") > 0))
+    placed = rows.join(F.broadcast(before.select("_p", "_before")), F.col("_first") == F.col("_p"), "left")
+    return placed.select(*kept, (F.col("_place") + F.coalesce("_before", F.lit(0))).alias(name))
+
+
+def _placed(keys: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds to sorted rows: _place in the run of equal keys, _first, the number of the range in its first run, and
+    _end, the same in its last row."""
+
+    def told(b: pa.RecordBatch, place: np.ndarray, first: np.ndarray, piece: int, last: bool) -> pa.RecordBatch:
+        end = np.zeros(b.num_rows, bool)
+        end[-1] = last
+        numbers = np.full(b.num_rows, piece, np.int32)
+        added = [pa.array(place), pa.array(numbers, mask=~first), pa.array(numbers, mask=~end)]
+        return pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, "_place", "_first", "_end"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, held, seen, runs = TaskContext.get().partitionId(), None, 0, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = np.zeros(b.num_rows, bool)
+            for k in keys:
+                values = b.column(k) if held is None else pa.concat_arrays([held[0].column(k).slice(held[0].num_rows - 1), b.column(k)])
+                other = np.diff(values.dictionary_encode("encode").indices.to_numpy()) != 0
+                new[len(new) - len(other) :] |= other
+            if held is not None:
+                yield told(*held, piece, False)
+            at = np.arange(b.num_rows)
+            place = at - np.maximum.accumulate(np.where(new, at, -seen))
+            held = b, place, runs + np.cumsum(new) == 0
+            seen, runs = int(place[-1]) + 1, runs + int(new.sum())
+        if held is not None:
+            yield told(*held, piece, True)
+
+    return run
 
 
 def pages(df: DataFrame, keys: list[str], index: str, item: Column, name: str, size: int = 1000) -> DataFrame:

@@ -157,22 +157,21 @@ flagged AS (
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as predicted errors, in order of falling discount."""
-    li = table(spark, sf, "lineitem")
-    rows = li.select(
+    order = [-F.col("l_discount"), *[F.col(c) for c in _LINE_ORDER]]
+    used = ["l_orderkey", "l_returnflag", "l_linenumber", "l_partkey"]
+    return _placed_lines(spark, sf, order, used, "pred_idx").select(
         F.col("l_orderkey").alias("paper_id"),
         F.col("l_returnflag").alias("error_category"),
         F.concat(F.lit("Lemma "), F.col("l_linenumber").cast("string")).alias("error_location"),
         F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("supporting_evidence"),
-        *_LINE_ORDER_COLS,
+        "pred_idx",
     )
-    order = [-F.col("l_discount"), *[F.col(c) for c in _LINE_ORDER]]
-    return position(rows, ["paper_id"], order, "pred_idx").drop(*_LINE_ORDER_COLS)
 
 
 def annotations(spark: SparkSession, sf: str) -> DataFrame:
     """Order lines as annotated errors, in line order."""
-    li = table(spark, sf, "lineitem")
-    rows = li.select(
+    used = ["l_orderkey", "l_linestatus", "l_partkey", "l_quantity", "l_suppkey"]
+    return _placed_lines(spark, sf, [F.col(c) for c in _LINE_ORDER], used, "ann_idx").select(
         F.col("l_orderkey").alias("paper_id"),
         F.when(F.col("l_linestatus") == "F", "A").otherwise("N").alias("error_category"),
         F.concat(
@@ -181,9 +180,14 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("l_quantity") > 25, "retract").otherwise("errata").alias("error_severity"),
         F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string")).alias("error_annotation"),
         F.when(F.col("l_quantity") > 40, "Physics").otherwise("Math").alias("paper_category"),
-        *_LINE_ORDER_COLS,
+        "ann_idx",
     )
-    return position(rows, ["paper_id"], [F.col(c) for c in _LINE_ORDER], "ann_idx").drop(*_LINE_ORDER_COLS)
+
+
+def _placed_lines(spark: SparkSession, sf: str, order: list[Column], used: list[str], name: str) -> DataFrame:
+    """The columns ``used`` of the order lines with each line's place in its order; texts are made from what is saved."""
+    li = table(spark, sf, "lineitem").select("l_orderkey", *_LINE_ORDER)
+    return position(li, ["l_orderkey"], order, name, drop=[c for c in li.columns if c not in used])
 
 
 _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_tax", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate"]

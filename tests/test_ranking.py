@@ -24,6 +24,21 @@ def test_null_group_over_several_ranges(spark):
     assert ranking.position(df, ["g"], [F.col("id")], "p").where("p <> id").count() == 0
 
 
+def test_rows_are_shuffled_once(spark):
+    """What is returned joins a row a range to the saved rows: no window over them, and no column that only orders."""
+    rows = [(None if i % 7 == 0 else f"g{i % 5}", i % 3, float(i % 11), i, "x" * i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, h int, c double, i long, t string").repartition(6)
+    order = [-F.col("c"), F.col("i")]
+    for keys in (["g", "h"], ["h"], []):
+        got = ranking.position(df, keys, order, "p", drop=["c", "t"])
+        assert got.columns == ["g", "h", "i", "p"]
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan and "_ord" not in plan
+        w = Window.partitionBy(*keys).orderBy(*order)
+        assert {r.i: r.p for r in got.collect()} == {r.i: r.p for r in df.select("i", (F.row_number().over(w) - 1).alias("p")).collect()}
+    assert ranking.position(df.filter("false"), ["g"], order, "p").count() == 0
+
+
 def test_pages_keep_everything(spark):
     df = spark.range(2500).select(F.lit("a").alias("g"), F.col("id").alias("i"))
     out = ranking.pages(df, ["g"], "i", F.col("i"), "l", 1000).orderBy("page").collect()
