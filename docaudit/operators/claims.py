@@ -128,22 +128,23 @@ def claim_verdicts(checks: DataFrame, key: str = "snippet_id", order: str = "cla
 # --- sampled residuals -------------------------------------------------------------------
 
 
-def sample_values(rank: int, domain: Column | None = None) -> Callable[[Column], Column]:
-    """Value of the rank-th symbol at sample i, moved into the symbol's domain."""
-    points = F.array(*[F.lit(p / q) for p, q in SAMPLE_POINTS])
-
-    def value(i: Column) -> Column:
-        v = F.get(points, (i + rank) % len(SAMPLE_POINTS))
-        if domain is None:
-            return v
-        implied = F.coalesce(
-            lookup_lists(DOMAIN_IMPLIES, domain), F.expr("cast(array() as array<string>)")
-        )
-        v = F.when(F.array_contains(implied, "positive") | F.array_contains(implied, "nonnegative"), F.abs(v)).otherwise(v)
-        whole = F.when(F.abs(v) >= 1, F.when(v < 0, F.ceil(v)).otherwise(F.floor(v)).cast("double")).otherwise(1.0)
-        return F.when(F.array_contains(implied, "integer"), whole).otherwise(v)
+def sample_values(rank: int, domain: Column | None = None) -> Column:
+    """Values of the rank-th symbol at all samples, moved into the symbol's domain.
+
+    Every domain's values are constants, so a row picks an array and computes none.
+    """
+    points = [SAMPLE_POINTS[(i + rank) % len(SAMPLE_POINTS)] for i in range(SAMPLE_COUNT)]
+    plain = [p / q for p, q in points]
 
-    return value
+    def values(positive: bool, whole: bool) -> Column:
+        moved = [abs(v) if positive else v for v in plain]
+        return F.array(*[F.lit((float(int(v)) if abs(v) >= 1 else 1.0) if whole else v) for v in moved])
+
+    if domain is None:
+        return values(False, False)
+    positive = domain.isin([d for d, implied in DOMAIN_IMPLIES.items() if {"positive", "nonnegative"} & set(implied)])
+    whole = domain.isin([d for d, implied in DOMAIN_IMPLIES.items() if "integer" in implied])
+    return F.when(positive & whole, values(True, True)).when(positive, values(True, False)).when(whole, values(False, True)).otherwise(values(False, False))
 
 
 def lookup_lists(table: dict[str, list[str]], key: Column) -> Column:
@@ -170,16 +171,14 @@ def residual_stats(df: DataFrame, residual: Callable[..., Column | tuple[Column,
     that leaves the real numbers, as logarithms and roots of negative ones do, is given as its
     real and imaginary part (``complex_ln``, ``complex_sqrt``) and counts by its absolute value.
     """
-    values = [sample_values(j, domains[j] if domains else None) for j in range(n_symbols)]
+    values = [sample_values(j, domains[j] if domains else None).alias(f"x{j}") for j in range(n_symbols)]
+    samples = F.arrays_zip(*values) if values else F.sequence(F.lit(1), F.lit(SAMPLE_COUNT))
 
-    def size(i: Column) -> Column:
-        r = residual(*[v(i) for v in values])
-        return finite(F.hypot(*r) if isinstance(r, tuple) else F.abs(r))
+    def size(at: Column) -> Column:
+        r = residual(*[at[f"x{j}"] for j in range(n_symbols)])
+        return F.hypot(*r) if isinstance(r, tuple) else F.abs(r)
 
-    sizes = F.filter(
-        F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_COUNT - 1)), size),
-        lambda r: r.isNotNull(),
-    )
+    sizes = F.filter(F.transform(samples, size), lambda r: r < float("inf"))  # neither null nor NaN is less
     df = df.withColumn("_s", sizes)
     n = F.size("_s")
     return df.withColumns(

@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docaudit.functions.arithmetic import NotArithmetic, evaluate
+from docaudit.constants import DOMAIN_IMPLIES
+from docaudit.functions.arithmetic import NotArithmetic, evaluate, points_for
 from docaudit.operators import claims, context, metrics
 
 
@@ -81,6 +82,18 @@ def test_native_and_text_samples_agree(spark):
     assert (a.n_evaluated, a.nonzero_fraction, round(a.max_abs, 9)) == (b.n_evaluated, b.nonzero_fraction, round(b.max_abs, 9)) and a.n_evaluated == 30
 
 
+def test_sample_values_are_constants(spark):
+    """A row picks its domain's values; they are those that text residuals are sampled at."""
+    names = [*DOMAIN_IMPLIES, "other", None]
+    df = spark.createDataFrame([(n,) for n in names], "domain string")
+    for rank in (0, 3):
+        values = claims.sample_values(rank, F.col("domain"))
+        got = {r.domain: r.v for r in df.select("domain", values.alias("v")).collect()}
+        assert all(got[n] == [float(x) for x in points_for(rank, n)] for n in names)
+    plan = df.select(claims.sample_values(0, F.col("domain")).alias("v"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
+
+
 DECL = "paper_id string, symbol string, domain string, definition string, snippet_id string, order_idx int"
 
 
