@@ -58,10 +58,9 @@ def spans(text: Column, pattern: str) -> Column:
     The text splits into gaps around the same matches that ``regexp_extract_all``
     lists, so offsets are running sums of the two lengths. A fold copies what it has
     made at each step, so matches are added up in groups of SPAN_GROUP, and the groups'
-    lengths after that: time grows in proportion to the matches. No UDF is needed.
+    lengths after that: time grows in proportion to the matches. The text is searched twice,
+    or once where nothing matches. No UDF is needed.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.expr(f"named_struct('pos', 0, 'out', {NO_SPANS})")
 
     def step(acc: Column, pair: Column) -> Column:
@@ -88,17 +87,16 @@ def spans(text: Column, pattern: str) -> Column:
         offsets = running(F.transform(groups, lambda g: g["pos"]))
         return F.flatten(F.zip_with(groups, F.slice(offsets, F.lit(1), F.size(groups)), shifted))
 
-    pairs = F.zip_with(
-        F.slice(gaps, F.lit(1), F.size(hits)),
-        hits,
-        lambda g, h: F.struct(g.alias("gap"), h.alias("hit")),
-    )
+    def pairs(hits: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits))
+        return F.zip_with(gaps, hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
 
     def added(all_: Column) -> Column:
         few = F.aggregate(all_, empty, step, lambda acc: acc["out"])
         return F.when(F.size(all_) <= SPAN_GROUP, few).otherwise(once(grouped(all_), joined))
 
-    return F.when(F.size(hits) > 0, once(pairs, added)).otherwise(F.expr(NO_SPANS))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return once(found, lambda hits: F.when(F.size(hits) > 0, once(pairs(hits), added)).otherwise(F.expr(NO_SPANS)))
 
 
 def between(text: Column, start: Column, end: Column) -> Column:

@@ -34,6 +34,11 @@ def joined_text(content: Column) -> Column:
     return F.array_join(texts, "\n")
 
 
+def without_payloads(content: Column) -> Column:
+    """Types and texts of the items. Read field by field, so that no image is read or made."""
+    return F.zip_with(content["type"], content["text"], lambda kind, text: F.struct(kind.alias("type"), text.alias("text")))
+
+
 def full_text(corpus: DataFrame) -> DataFrame:
     """(paper_id, full_text): non-empty item texts, one per line."""
     return corpus.select("paper_id", joined_text(F.col("paper_content")).alias("full_text"))

@@ -205,8 +205,9 @@ def segment(corpus: DataFrame) -> DataFrame:
             out.append(case.alias(name))
         return out
 
-    images_ = {k: v for k, v in extract.image_columns().items() if k != "base64_data"}
-    rows = extract.with_surroundings(extract.elements(corpus), FAMILIES).select(
+    images_ = {k: v for k, v in extract.image_columns().items() if k != "base64_data"}  # an element's row holds no payload
+    light = corpus.select("paper_id", extract.without_payloads(F.col("paper_content")).alias("paper_content"))
+    rows = extract.with_surroundings(extract.elements(light), FAMILIES).select(
         "paper_id",
         "e",
         *pick(

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docaudit.constants import UNCERTAINTY_THRESHOLD
-from docaudit.operators import align, findings, metrics, routing, scorers, segment, triage
+from docaudit.operators import align, extract, findings, metrics, routing, scorers, segment, triage
 from docaudit.session import stored
 
 RESULT = [
@@ -120,7 +120,8 @@ def verify_corpus(corpus: DataFrame, mode: str = "exhaustive", strictness: str =
     The corpus has a row per annotation; its documents are segmented once each. Snippets and results
     are written, so the corpus is parsed and scored once, also after the loss of an executor.
     """
-    papers = corpus.select("paper_id", "title", "paper_category", "paper_content").dropDuplicates(["paper_id"])
+    content = extract.without_payloads(F.col("paper_content")).alias("paper_content")  # images would only be shuffled
+    papers = corpus.select("paper_id", "title", "paper_category", content).dropDuplicates(["paper_id"])
     snippets = stored(segment.segment(papers), "snippets")
     run = {"exhaustive": exhaustive, "uncertainty": triaged}[mode]
     results = stored(run(snippets, **options), "results")
