@@ -63,6 +63,12 @@ def cut(texts: DataFrame, block_chars: int = BLOCK_CHARS, page_chars: int = PAGE
     return Blocks(stored(rows, "blocks"), stored(pages, "pages"), page_chars)
 
 
+def met(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that both grow with the corpus, by shuffles: their files are small for the rows in them, so that
+    Spark, which goes by the files, would send all of one through the driver."""
+    return rows.join(other.hint("merge"), keys, how)
+
+
 def found(pattern: str) -> Column:
     """The matches of a block as global spans. The letter put after a block stands for the next one's, so that ends of lines stay what they are."""
     text = F.when(F.col("block") + 1 < F.col("n_blocks"), F.concat("text", F.lit("x"))).otherwise(F.col("text"))
@@ -101,9 +107,9 @@ def filled(rows: DataFrame, blocks: Blocks, key: str, ranges: dict[str, tuple[st
     wanted = wanted.select("paper_id", key, "n.*", F.explode(F.sequence(F.floor(F.col("n.a") / size).cast("int"), F.floor((F.col("n.b") - 1) / size).cast("int"))).alias("page"))
     here = F.greatest(F.col("a") - F.col("page").cast("bigint") * size, F.lit(0))
     piece = F.substring("text", (here + 1).cast("int"), (F.col("b") - F.col("page").cast("bigint") * size - here).cast("int"))
-    parts = wanted.join(blocks.pages, ["paper_id", "page"]).groupBy("paper_id", key, "part").agg(F.array_sort(F.collect_list(F.struct("page", piece.alias("s")))).alias("l"))
+    parts = met(wanted, blocks.pages, ["paper_id", "page"]).groupBy("paper_id", key, "part").agg(F.array_sort(F.collect_list(F.struct("page", piece.alias("s")))).alias("l"))
     parts = parts.withColumn("s", F.array_join(F.col("l.s"), "")).groupBy("paper_id", key).agg(F.map_from_entries(F.collect_list(F.struct("part", "s"))).alias("_filled"))
-    out = rows.join(parts, ["paper_id", key], "left")
+    out = met(rows, parts, ["paper_id", key], "left")
     return out.withColumns({c: F.coalesce(c, F.when(F.col(a).isNotNull(), F.coalesce(F.element_at("_filled", F.lit(c)), F.lit("")))) for c, (a, _) in ranges.items()}).drop("_filled")
 
 
@@ -175,16 +181,18 @@ def _entered(rows: DataFrame) -> DataFrame:
     """paper_id, block, open: the kind of equation that a block begins in, by a prefix scan over the blocks' maps.
 
     In each round a block's map takes in that of the block 1, 2, 4, ... before, so rounds grow with the logarithm of
-    the longest document.
+    the longest document. A document takes part in as many as its own blocks need.
     """
     maps = stored(rows.where("n_blocks > 1").select("paper_id", "block", "n_blocks", "map"), "equation-maps")
     most, step = maps.agg(F.max("n_blocks")).first()[0] or 1, 1
+    done = maps.where("n_blocks <= 1")
     while step < most:
         before = maps.select("paper_id", (F.col("block") + step).alias("block"), F.col("map").alias("earlier"))
-        joined = maps.join(before, ["paper_id", "block"], "left")
+        joined = met(maps, before, ["paper_id", "block"], "left")
         maps = joined.withColumn("map", F.when(F.col("earlier").isNull(), F.col("map")).otherwise(F.transform("earlier", lambda s: F.get("map", s)))).drop("earlier")
         maps, step = stored(maps, "equation-maps"), step * 2
-    return maps.select("paper_id", (F.col("block") + 1).alias("block"), F.get("map", F.lit(0)).alias("open"))
+        done, maps = done.unionByName(maps.where(F.col("n_blocks") <= step)), maps.where(F.col("n_blocks") > step)
+    return done.select("paper_id", (F.col("block") + 1).alias("block"), F.get("map", F.lit(0)).alias("open"))
 
 
 def _display(blocks: Blocks) -> DataFrame:
@@ -200,7 +208,7 @@ def _display(blocks: Blocks) -> DataFrame:
     rows = rows.withColumn("last_close", F.array(*[F.max(F.get("last_close", F.lit(k))).over(document) for k in range(KINDS)]))
     through = F.aggregate("d", F.array(*[F.lit(k) for k in range(KINDS)]), lambda acc, d: F.transform(acc, lambda s: _turn(s, d)))
     rows = stored(rows.withColumn("map", through), "equation-blocks")
-    rows = rows.join(_entered(rows), ["paper_id", "block"], "left")
+    rows = met(rows, _entered(rows), ["paper_id", "block"], "left")
     start = F.struct(F.coalesce("open", F.lit(0)).alias("state"), F.expr("cast(array() as array<struct<start: bigint, stop: bigint, opened: boolean>>)").alias("out"))
 
     def note(acc: Column, d: Column) -> Column:
@@ -225,7 +233,7 @@ def equations(blocks: Blocks) -> DataFrame:
     inline = blocks.rows.select("paper_id", "block", F.explode(found(INLINE_EQUATION)).alias("s")).select(
         "paper_id", "block", F.col("s.start").alias("start"), F.col("s.stop").alias("stop"), (F.col("s.start") + 2).alias("a"), (F.col("s.stop") - 2).alias("b"), F.lit(False).alias("display")
     )
-    rows = display.unionByName(inline).join(blocks.rows, ["paper_id", "block"])
+    rows = met(display.unionByName(inline), blocks.rows, ["paper_id", "block"])
     reach = F.when(F.col("display"), 200).otherwise(100)
     rows = rows.withColumns({"x": F.col("start") - reach, "y": F.least(F.col("stop") + reach, "doc_size"), "place": F.col("start") * 2 + (~F.col("display")).cast("int")})
     rows = rows.withColumns({"inner": local(F.col("a"), F.col("b")), "pre": local(F.col("x"), F.col("start")), "post": local(F.col("stop"), F.col("y"))})
@@ -254,15 +262,15 @@ def theorems(blocks: Blocks) -> DataFrame:
     each = rows.withColumn("h", F.explode("heads")).withColumn("end", first_from("ends", F.col("h.stop")))
     each = each.select("paper_id", "doc_size", "h.start", "h.stop", "h.hit", "h.block", F.col("end.block").alias("end_block"), F.coalesce("end.start", "doc_size").alias("end_at"))
     there = rows.select("paper_id", F.col("block").alias("end_block"), "heads", "next_heads", "proofs", "next_proofs")
-    each = each.join(there, ["paper_id", "end_block"], "left").withColumns({"own": F.coalesce(first_from("heads", F.col("end_at"))["start"], "doc_size"), "proof": first_from("proofs", F.col("end_at"))})
+    each = met(each, there, ["paper_id", "end_block"], "left").withColumns({"own": F.coalesce(first_from("heads", F.col("end_at"))["start"], "doc_size"), "proof": first_from("proofs", F.col("end_at"))})
     each = each.withColumn("proof", F.when(F.col("proof.start") < F.col("own"), F.col("proof"))).drop("heads", "next_heads", "proofs", "next_proofs")
     there = rows.select("paper_id", F.col("block").alias("proof_block"), "stops", "next_stops")
-    each = each.withColumn("proof_block", F.col("proof.block")).join(there, ["paper_id", "proof_block"], "left")
+    each = met(each.withColumn("proof_block", F.col("proof.block")), there, ["paper_id", "proof_block"], "left")
     # white space after the proof's head counts as its text if there is nothing else
     bare = (F.col("proof.stop") >= F.col("own")) & F.col("proof.hit").rlike(r"\s\z")
     begins = F.when(bare | (F.col("proof.stop") < F.col("own")), F.col("proof.stop"))
     each = each.withColumns({"begins": begins, "shut": F.least(F.coalesce(first_from("stops", F.col("proof.stop") + 1)["start"], F.col("own")), F.col("own"))})
-    each = each.select("paper_id", "block", "start", "stop", "hit", "end_at", "begins", "shut").join(blocks.rows, ["paper_id", "block"])
+    each = met(each.select("paper_id", "block", "start", "stop", "hit", "end_at", "begins", "shut"), blocks.rows, ["paper_id", "block"])
     each = each.withColumns({"x": F.col("start") - 300, "y": F.least(F.col("end_at") + 300, "doc_size")})
     each = each.withColumns({"_stmt": local(F.col("stop"), F.col("end_at")), "pre": local(F.col("x"), F.col("start")), "post": local(F.col("end_at"), F.col("y")), "proof": local(F.col("begins"), F.col("shut"))})
     names = ["paper_id", "start", "stop", "hit", "end_at", "begins", "shut", "x", "y", "_stmt", "pre", "post", "proof"]

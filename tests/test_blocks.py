@@ -46,3 +46,18 @@ def test_equation_across_many_blocks(spark):
     texts = spark.createDataFrame([("p", text)], "paper_id string, full_text string")
     want, got = rows(extract.equations(texts)), rows(blocks.equations(blocks.cut(texts, 100, 64)))
     assert got == want and len(got) == 2
+
+
+def test_no_growing_table_passes_the_driver(spark, monkeypatch):
+    """The files of a table say little of its size: no join may send one through the driver because they are small."""
+    texts = spark.createDataFrame([(str(i), "words \\[ y \\] end\nMore words\n" * n) for i, n in enumerate([1, 3, 20, 21])], "paper_id string, full_text string")
+    b, saved = blocks.cut(texts, 40, 16), blocks.stored
+    assert b.rows.agg(F.max("n_blocks")).first()[0] > 8
+    seen = []
+    monkeypatch.setattr(blocks, "stored", lambda df, name: (seen.append(df), saved(df, name))[1])
+    assert rows(blocks.equations(b)) == rows(extract.equations(texts))
+    seen += [blocks._display(b), *[new(b) for _, new in OLD_NEW[2:]]]
+    plans = [df._jdf.queryExecution().sparkPlan().toString() for df in seen]
+    assert sum("SortMergeJoin" in p for p in plans) > 5
+    for p in plans:  # a position's own table has a row a range
+        assert not [line for line in p.splitlines() if "BroadcastHashJoin" in line and "_first" not in line]
