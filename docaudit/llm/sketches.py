@@ -13,8 +13,11 @@ from docaudit.llm.common import documents, stored
 ROWS = 10  # cells of each of the three parts of a table
 ROUNDS = 12  # of peeling
 PIECE = 16  # words of a piece of a line, on average
-UNITS = r"(?<=\s)|(?<=[aeiou0-9]|[^\x00-\x7F])(?=\S{64})"  # ends of words, and of parts of a run that is very long
+WORDS = r"(?<=\s)"  # ends of words
+PARTS = r"(?<=[aeiou0-9]|[^\x00-\x7F])(?=\S{64})"  # ends of parts of a run that is very long
 SPLIT = 4  # a table that cannot be peeled is tried again as so many tables
+CELLS, LEAST, MOST = 1.8, 3, 16  # cells for each digest of a further table; the fewest and most cells of its parts
+SPLITS = 32  # of a set: each takes two bits of the digests, so the last leaves one digest in a part
 
 
 def digests(text: Column) -> Column:
@@ -22,6 +25,16 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(F.split(text, "\n"), lambda p: F.xxhash64(p)))
 
 
+def units(line: Column) -> Column:
+    """The words of a line with the blank after each; runs of over 64 characters are cut into parts.
+
+    Only such runs are searched for ends of parts, as that looks ahead at each character.
+    """
+    long = lambda w: F.length(w) > 64
+    cut = lambda w: F.when(long(w), F.split(w, PARTS)).otherwise(F.array(w))
+    return bound(F.split(line, WORDS), lambda ws: F.when(F.exists(ws, long), F.flatten(F.transform(ws, cut))).otherwise(ws))
+
+
 def piece_digests(text: Column) -> Column:
     """The distinct digests of the pieces of a text's lines.
 
@@ -37,17 +50,22 @@ def piece_digests(text: Column) -> Column:
         return F.transform(ends, lambda e, j: F.xxhash64(F.slice(w, begin(j) + 1, e - begin(j))))
 
     def pieces(line: Column) -> Column:
-        return bound(F.split(line, UNITS), lambda w: bound(cuts(w), lambda ends: cut(w, ends)))
+        return bound(units(line), lambda w: bound(cuts(w), lambda ends: cut(w, ends)))
 
     return F.array_distinct(F.flatten(F.transform(F.split(text, "\n"), pieces)))
 
 
-def placed(keys: Column) -> Column:
-    """Each key with its check and the three cells that hold it, one in each part."""
+def check(k: Column) -> Column:
+    return F.xxhash64(k, F.lit(9)).bitwiseAND(F.lit(0xFFFFFFFF))
+
 
-    def one(k: Column) -> Column:
-        at = [(F.pmod(F.xxhash64(k, F.lit(j)), F.lit(ROWS)) + j * ROWS).cast("int").alias(f"p{j}") for j in range(3)]
-        return F.struct(k.alias("k"), F.xxhash64(k, F.lit(9)).bitwiseAND(F.lit(0xFFFFFFFF)).alias("h"), *at)
+def placed(keys: Column, of: Callable[[Column], tuple[Column, Column]], rows: Column) -> Column:
+    """Each key with its count, both as ``of`` has them, its check and the three cells that hold it, one in each part."""
+
+    def one(x: Column) -> Column:
+        k, c = of(x)
+        at = [(F.pmod(F.xxhash64(k, F.lit(j)), rows) + rows * j).cast("int").alias(f"p{j}") for j in range(3)]
+        return F.struct(c.alias("c"), k.alias("k"), check(k).alias("h"), *at)
 
     return F.transform(keys, one)
 
@@ -57,11 +75,11 @@ def bound(value: Column, of) -> Column:
     return F.transform(F.array(value), of)[0]
 
 
-def by_part(of) -> Column:
+def by_part(of, rows: Column) -> Column:
     """of(part, i) for each cell i of each part, the cells in order."""
 
     def part(j: int) -> Column:
-        return F.transform(F.sequence(F.lit(j * ROWS), F.lit(j * ROWS + ROWS - 1)), lambda i: of(f"p{j}", i))
+        return F.transform(F.sequence(rows * j, rows * (j + 1) - 1), lambda i: of(f"p{j}", i))
 
     return F.concat(*map(part, range(3)))
 
@@ -70,45 +88,57 @@ def cell(c: Column, k: Column, h: Column) -> Column:
     return F.struct(c.cast("int").alias("c"), k.alias("k"), h.alias("h"))
 
 
-def table(keys: Column) -> Column:
-    """The cells of a set of digests: in each, how many, and the exclusive-or of the digests and of their checks."""
+def filled(entries: Column, rows: Column) -> Column:
+    """The cells of placed digests: in each, the sum of their counts, and the exclusive-or of the digests and of their checks."""
     zero = F.lit(0).cast("long")
 
     def fill(entries: Column, part: str, i: Column) -> Column:
         mine = F.filter(entries, lambda e: e[part] == i)
-        start = F.struct(zero.alias("c"), zero.alias("k"), zero.alias("h"))
-        total = F.aggregate(mine, start, lambda a, e: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(e["k"]).alias("k"), a["h"].bitwiseXOR(e["h"]).alias("h")))
-        return bound(total, lambda t: cell(t["c"], t["k"], t["h"]))
+        return F.aggregate(mine, cell(F.lit(0), zero, zero), lambda a, e: cell(a["c"] + e["c"], a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(e["h"])))
+
+    return bound(entries, lambda es: by_part(lambda part, i: fill(es, part, i), rows))
+
 
-    return bound(placed(keys), lambda entries: by_part(lambda part, i: fill(entries, part, i)))
+def table(keys: Column) -> Column:
+    """The cells of a set of digests."""
+    return filled(placed(keys, lambda k: (k, F.lit(1)), F.lit(ROWS)), F.lit(ROWS))
 
 
 def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: cell(x["c"] - y["c"], x["k"].bitwiseXOR(y["k"]), x["h"].bitwiseXOR(y["h"])))
 
 
-def peeled(cells: Column) -> Column:
+def difference(one: Column, two: Column, rows: Column) -> Column:
+    """The table of one set less that of the other, both with ``rows`` cells a part, filled in one go."""
+    signs = [placed(keys, lambda k, sign=sign: (k, F.lit(sign)), rows) for keys, sign in ((one, 1), (two, -1))]
+    return filled(F.concat(*signs), rows)
+
+
+def peeled(cells: Column, rows: Column | None = None) -> Column:
     """Struct of n, the digests recovered from a difference, and done, whether these are all.
 
     A cell with one digest gives it away; taking it out of its other cells lays open more. Each round
-    takes all digests that lie open.
+    takes all digests that lie open. ``rows`` are the cells of a part, ROWS if not given.
     """
+    rows = F.lit(ROWS) if rows is None else rows
 
     def round_(state: Column, _: Column) -> Column:
-        pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == F.xxhash64(x["k"], F.lit(9)).bitwiseAND(F.lit(0xFFFFFFFF))))
+        pure = F.filter(state["cells"], lambda x: (F.abs(x["c"]) == 1) & (x["h"] == check(x["k"])))
         signs = lambda found: F.array_distinct(F.transform(found, lambda x: F.struct(x["k"].alias("k"), x["c"].alias("c"))))
-        return bound(pure, lambda found: F.when(F.size(found) == 0, state).otherwise(bound(signs(found), lambda s: taken(state, s))))
+        stuck = F.struct(state["cells"].alias("cells"), state["n"].alias("n"), F.lit(False).alias("more"))
+        next_ = bound(pure, lambda found: F.when(F.size(found) == 0, stuck).otherwise(bound(signs(found), lambda s: taken(state, s))))
+        return F.when(state["more"], next_).otherwise(state)
 
     def taken(state: Column, signs: Column) -> Column:
-        entries = F.zip_with(signs, placed(F.transform(signs, lambda s: s["k"])), lambda s, e: F.struct(s["c"].alias("c"), *[e[f].alias(f) for f in ("k", "h", "p0", "p1", "p2")]))
+        entries = placed(signs, lambda s: (s["k"], s["c"]), rows)
 
         def less(x: Column, part: str, i: Column, es: Column) -> Column:
             return F.aggregate(F.filter(es, lambda e: e[part] == i), x, lambda a, e: cell(a["c"] - e["c"], a["k"].bitwiseXOR(e["k"]), a["h"].bitwiseXOR(e["h"])))
 
-        left = bound(entries, lambda es: by_part(lambda part, i: less(state["cells"][i], part, i, es)))
-        return F.struct(left.alias("cells"), (state["n"] + F.size(signs)).alias("n"))
+        left = bound(entries, lambda es: by_part(lambda part, i: less(state["cells"][i], part, i, es), rows))
+        return F.struct(left.alias("cells"), (state["n"] + F.size(signs)).alias("n"), F.lit(True).alias("more"))
 
-    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"))
+    start = F.struct(cells.alias("cells"), F.lit(0).alias("n"), F.lit(True).alias("more"))
     clear = lambda s: F.struct(s["n"].alias("n"), (~F.exists(s["cells"], lambda x: (x["c"] != 0) | (x["k"] != 0))).alias("done"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, round_, clear)
 
@@ -155,30 +185,37 @@ def row_key() -> list[Column]:
     return [F.xxhash64("doc_id", "text").alias("a"), F.xxhash64(F.lit(7), F.col("doc_id").isNull(), "doc_id", "text").alias("b")]
 
 
-def retried(open_: DataFrame) -> DataFrame:
-    """id, which and n, the number of differing digests, for pairs of digest sets whose tables could not be peeled.
+def differing(one: Column, two: Column, got: Column) -> Column:
+    """How many digests only one of two sets has; ``got`` is what peeling the difference of their tables gave.
 
-    A failed pair is tried again with a larger sketch: SPLIT tables, each for a share of the digests. Only the
-    tables that fail again are split further, so the cost is in proportion to the digests.
+    A pair whose difference cannot be peeled is tried again with a larger sketch: SPLIT tables, each for the digests
+    with the same two bits, of a size that suits them. Only the parts that fail again are split further, so the cost
+    is in proportion to the digests. All of it happens within the row: no digests are stored or sent.
     """
-    todo, found, turn = stored(open_, "sketch-open"), None, 0
-    while not todo.isEmpty():
-        turn += 1
-        parts = F.explode(F.sequence(F.lit(0), F.lit(SPLIT - 1))).alias("part")
-        salt = 100 + turn
-
-        def mine(keys: str, salt: int = salt) -> Column:
-            return F.filter(F.col(keys), lambda k: F.pmod(F.xxhash64(k, F.lit(salt)), F.lit(SPLIT)) == F.col("part"))
-
-        tried = todo.select("id", "which", "one", "two", parts).select("id", "which", mine("one").alias("one"), mine("two").alias("two"))
-        tried = tried.withColumn("got", peeled(subtracted(table(F.col("one")), table(F.col("two")))))
-        tried = stored(tried, "sketch-tried")
-        good = tried.filter("got.done").select("id", "which", F.col("got.n").alias("n"))
-        found = good if found is None else found.unionByName(good)
-        todo = tried.filter("not got.done").select("id", "which", "one", "two")
-    if found is None:
-        return todo.select("id", "which", F.lit(0).cast("long").alias("n"))
-    return found.groupBy("id", "which").agg(F.sum("n").alias("n"))
+
+    def parts(pair: Column, turn: Column) -> Column:
+        def share(keys: Column, part: Column) -> Column:
+            return F.filter(keys, lambda k: F.call_function("shiftright", k, turn * 2).bitwiseAND(F.lit(SPLIT - 1)) == part)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(SPLIT - 1)), lambda part: F.struct(share(pair["one"], part).alias("one"), share(pair["two"], part).alias("two")))
+
+    def tried(pair: Column) -> Column:
+        rows = F.least(F.greatest(((F.size(pair["one"]) + F.size(pair["two"])) * CELLS / 3).cast("int"), F.lit(LEAST)), F.lit(MOST))
+        got = bound(rows, lambda n: peeled(difference(pair["one"], pair["two"], n), n))
+        return F.struct(pair["one"].alias("one"), pair["two"].alias("two"), got.alias("got"))
+
+    def summed(state: Column, pairs: Column) -> Column:
+        n = F.aggregate(pairs, state["n"], lambda a, p: a + F.when(p["got"]["done"], p["got"]["n"]).otherwise(0))
+        left = F.filter(pairs, lambda p: ~p["got"]["done"])
+        return F.struct(n.alias("n"), F.transform(left, lambda p: F.struct(p["one"].alias("one"), p["two"].alias("two"))).alias("open"))
+
+    def round_(state: Column, turn: Column) -> Column:
+        pairs = F.transform(F.flatten(F.transform(state["open"], lambda p: parts(p, turn))), tried)
+        return F.when(F.size(state["open"]) == 0, state).otherwise(bound(pairs, lambda ps: summed(state, ps)))
+
+    open_ = F.filter(F.array(F.struct(one.alias("one"), two.alias("two"))), lambda _: ~got["done"])
+    start = F.struct(F.when(got["done"], got["n"]).otherwise(0).alias("n"), open_.alias("open"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(SPLITS - 1)), start, round_, lambda s: s["n"])
 
 
 def fingerprints(docs: DataFrame, digests: Callable[[Column], Column] = digests) -> DataFrame:
@@ -203,25 +240,14 @@ def fingerprints(docs: DataFrame, digests: Callable[[Column], Column] = digests)
     rows = rows.select("a", "b", "doc_id", "n_chars", "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"), F.sha2("edited", 256).alias("edited_sha256"))
     rows = rows.select("*", table(F.col("keys")).alias("cells"), table(F.col("edited_keys")).alias("edited_cells"), table(F.col("next_keys")).alias("next_cells"))
     rows = rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.struct("a", "b").alias("id"), "keys", "edited_keys", "next_keys",
+        "doc_id", "n_chars", "edited_sha256", "keys", "edited_keys", "next_keys",
         as_text(F.col("keys"), F.col("cells")).alias("fingerprint"), as_text(F.col("edited_keys"), F.col("edited_cells")).alias("edited_fingerprint"),
         peeled(subtracted(F.col("cells"), F.col("edited_cells"))).alias("to_edited"), peeled(subtracted(F.col("cells"), F.col("next_cells"))).alias("to_next"),
     )
-    failed = ~(F.col("to_edited.done") & F.col("to_next.done"))
-    sizes = [F.size(k).alias(f"n_{k}") for k in ("keys", "edited_keys", "next_keys")]
-    kept = [F.when(failed, F.col(k)).alias(k) for k in ("keys", "edited_keys", "next_keys")]
-    rows = stored(rows.select("id", "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "to_edited", "to_next", *sizes, *kept), "sketch-rows")
-    again = rows.filter(failed).select("id", F.explode(F.array(*[
-        F.struct(F.lit(which).alias("which"), F.col(f"to_{which}.done").alias("done"), F.col("keys").alias("one"), F.col(f"{which}_keys").alias("two")) for which in ("edited", "next")
-    ])).alias("p")).filter("not p.done").select("id", "p.which", "p.one", "p.two")
-    more = retried(again)
-    for which in ("edited", "next"):
-        found = more.filter(F.col("which") == which).select("id", F.col("n").alias(f"again_{which}"))
-        rows = rows.join(found, "id", "left")
 
     def near(which: str) -> Column:
-        differing = F.when(F.col(f"to_{which}.done"), F.col(f"to_{which}.n")).otherwise(F.col(f"again_{which}"))
-        return (1 - differing / (F.col("n_keys") + F.col(f"n_{which}_keys"))).cast("double").alias(f"near_{which}")
+        n = differing(F.col("keys"), F.col(f"{which}_keys"), F.col(f"to_{which}"))
+        return (1 - n / (F.size("keys") + F.size(f"{which}_keys"))).cast("double").alias(f"near_{which}")
 
     return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited"), near("next"))
 
