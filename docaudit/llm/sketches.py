@@ -16,7 +16,7 @@ PIECE = 16  # words of a piece of a line, on average
 WORDS = r"(?<=\s)"  # ends of words
 PARTS = r"(?<=[aeiou0-9]|[^\x00-\x7F])(?=\S{64})"  # ends of parts of a run that is very long
 SPLIT = 4  # a table that cannot be peeled is tried again as so many tables
-CELLS, LEAST, MOST = 1.8, 3, 16  # cells for each digest of a further table; the fewest and most cells of its parts
+CELLS, LEAST, MOST = 2.4, 4, 16  # cells for each digest of a further table; the fewest and most cells of its parts
 SPLITS = 32  # of a set: each takes two bits of the digests, so the last leaves one digest in a part
 
 
@@ -231,12 +231,12 @@ def fingerprints(docs: DataFrame, digests: Callable[[Column], Column] = digests)
     """
     order = stored(followers(docs), "sketch-followers")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(*row_key(), "text").dropDuplicates(["a", "b"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(*row_key(), "text", digests(F.col("text")).alias("keys")).dropDuplicates(["a", "b"])
     own = texts.join(order, ["a", "b"])
-    sent = own.select(F.col("last.a").alias("a"), F.col("last.b").alias("b"), F.expr("substring(text, 1, cast(last.need as int))").alias("head"), digests(F.col("text")).alias("next_keys"))
-    both = own.select("a", "b", "doc_id", "n_chars", "need", "text").join(sent, ["a", "b"])
+    sent = own.select(F.col("last.a").alias("a"), F.col("last.b").alias("b"), F.expr("substring(text, 1, cast(last.need as int))").alias("head"), F.col("keys").alias("next_keys"))
+    both = own.select("a", "b", "doc_id", "n_chars", "need", "text", "keys").join(sent, ["a", "b"])
     edited = F.concat(F.expr("substring(text, 1, cast(n_chars - need as int))"), F.col("head"))
-    rows = both.select("a", "b", "doc_id", "n_chars", digests(F.col("text")).alias("keys"), "next_keys", edited.alias("edited"))
+    rows = both.select("a", "b", "doc_id", "n_chars", "keys", "next_keys", edited.alias("edited"))
     rows = rows.select("a", "b", "doc_id", "n_chars", "keys", "next_keys", digests(F.col("edited")).alias("edited_keys"), F.sha2("edited", 256).alias("edited_sha256"))
     rows = rows.select("*", table(F.col("keys")).alias("cells"), table(F.col("edited_keys")).alias("edited_cells"), table(F.col("next_keys")).alias("next_cells"))
     rows = rows.select(
