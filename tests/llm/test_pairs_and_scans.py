@@ -382,3 +382,21 @@ def test_toxicity_counts_by_force(spark):
     assert sum(r.n0 + r.n1 for r in rows) == sum(len(g) == 3 for _, g, _ in grams) + sum(len(g) == 2 for _, g, _ in grams) + sum(first for _, _, first in grams)
     heads = {(k, None if first else g[-2], g[-1][:5]) for k, g, first in grams}
     assert [sum(bool(r[f"h{k}"]) for r in rows) for k in (0, 1)] == [sum(h[0] == k for h in heads) for k in (0, 1)]
+
+
+def test_toxicity_keeps_entries_beyond_the_broadcast_ones(spark, monkeypatch):
+    rows, _, _ = toxic_case(spark)
+    texts = spark.createDataFrame([(None if i == 1 else i, int(i % 5 == 0), "" if i == 2 else t) for i, t in rows[:300]], "doc_id long, toxic int, text string")
+    grams = toxicity.stored(toxicity.gram_counts(texts), "grams")
+
+    def ratios():
+        models, rest = toxicity.count_models(grams)
+        return models, rest, sorted(tuple(r) for r in toxicity.ratio_rows(texts, models, rest).collect())
+
+    _, none_left, whole = ratios()
+    monkeypatch.setattr(toxicity, "ENTRIES", 20)
+    monkeypatch.setattr(toxicity, "BLOCK_BYTES", 40_000)
+    models, rest, got = ratios()
+    assert none_left is None and [len(t.keys) for t in (models.words, models.heads, models.pairs)] == [20, 20, 20]
+    assert {r.kind for r in rest.collect()} == {0, 1, 2}
+    assert len({r[1] for r in whole}) > 290 and got == whole
