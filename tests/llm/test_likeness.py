@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from docaudit.llm import likeness
+from docaudit.llm import likeness, simhash
 
 
 def shingles(text):
@@ -73,6 +73,21 @@ def test_fingerprints_link_first(spark):
     assert sorted(stage(spark, rows), key=str) == [1, 3, 3, None]
 
 
+def test_fingerprint_links_of_all_members_are_compared(spark, monkeypatch):
+    """Without the prefix filter: the first of a SimHash component is like none of the others, and those are alike."""
+    rng = random.Random(4)
+    passage, tail = ([f"{c}{rng.randrange(9000)}" for _ in range(51)] for c in "pt")
+    texts = [" ".join(passage * 100 + t) for t in ([], tail, [*tail[:-1], "other"], [*tail[:-2], "some", "other"])]
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (None, texts[3]), (5, "something else")]
+    components = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).filter("component_id = 1")
+    assert components.count() == 4
+    monkeypatch.setattr(likeness, "candidates", lambda keyed: spark.createDataFrame([], "u long, v long, p long, n int, at int"))
+    seen, saved = [], likeness.stored
+    monkeypatch.setattr(likeness, "stored", lambda df, name: (out := saved(df, name), seen.append((name, out)))[0])
+    assert sorted(stage(spark, rows), key=str) == [1, 2, 5, None]
+    assert sum(df.count() for name, df in seen if name == "near-more") == 3  # the three pairs of the others
+
+
 def test_pairs_that_share_a_passage_only_are_not_compared(spark, monkeypatch):
     """Texts made of passages that many others have: few pairs go on, and none that is alike is lost."""
     rng = random.Random(3)
