@@ -82,6 +82,19 @@ def context_events(declarations: DataFrame, uses: DataFrame, obligations: DataFr
     return out
 
 
+def missing(value) -> bool:
+    """None or a number that is none; lists are there, empty ones too."""
+    return not hasattr(value, "__len__") and (value is None or value is pd.NA or value != value)
+
+
+def merge(held: list, order: int, snippet: str | None, domain: str | None, definition: str | None) -> None:
+    """Takes a statement into a symbol's facts: (order_idx, snippet_id, value) of the first statement, the first known
+    domain and the first definition; ties go to the least snippet and value."""
+    for i, value, counts in ((0, domain, True), (3, domain, domain != "unknown"), (6, definition, not missing(definition))):
+        if counts and (held[i] is None or (order, snippet, value) < tuple(held[i : i + 3])):
+            held[i : i + 3] = order, snippet, value
+
+
 class SymbolState(StatefulProcessor):
     """The facts of a document's symbols, as small as a merged declaration each, and what waits for them.
 
@@ -100,27 +113,29 @@ class SymbolState(StatefulProcessor):
         self.pending = handle.getListState("pending", PENDING)
         self.last = handle.getValueState("last", "at long")
 
-    @staticmethod
-    def earliest(rows: pd.DataFrame, value: str) -> tuple | None:
-        """(order_idx, snippet_id, value) of the first statement; ties go to the least value."""
-        rows = rows[rows["order_idx"].notna()]
-        if rows.empty:
-            return None
-        rows = rows[rows["order_idx"] == rows["order_idx"].min()]
-        return min((int(o), s, v) for o, s, v in zip(rows["order_idx"], rows["snippet_id"], rows[value], strict=True))
-
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        """Rows are read as plain values: most documents have few at a time, and a pandas call costs more than all of them."""
         last = self.last.get()
         newest = last[0] if last else None
+        held: dict[str, list] = {}
         for batch in rows:
             at = int(batch[self.ts].max().timestamp() * 1000)
             newest = at if newest is None else max(newest, at)
-            declared = batch[(batch["kind"] == "declaration") & batch["symbol"].notna()]
-            for symbol, own in declared.groupby("symbol"):
-                self.merge(symbol, own)
-            waits = batch[batch["kind"].isin(["use", "obligation"])]
-            if len(waits):
-                self.pending.appendList([self.row(w) for w in waits[[f.split()[0] for f in PENDING.split(", ")]].itertuples(index=False)])
+            columns = (batch[c].tolist() for c in ("kind", "symbol", "snippet_id", "order_idx", "obligation_id", "need", "domain", "definition"))
+            waits = []
+            for kind, symbol, snippet, order, obligation, need, domain, definition in zip(*columns, strict=True):
+                if kind == "declaration":
+                    if not missing(symbol):
+                        if symbol not in held:
+                            held[symbol] = list(self.facts.getValue((symbol,)) or (None,) * 9)
+                        if not missing(order):
+                            merge(held[symbol], int(order), snippet, domain, definition)
+                elif kind in ("use", "obligation"):
+                    waits.append((kind, *(None if missing(v) else v for v in (symbol, snippet)), None if missing(order) else int(order), None if missing(obligation) else obligation, None if missing(need) else list(need)))
+            if waits:
+                self.pending.appendList(waits)
+        for symbol, facts in held.items():
+            self.facts.updateValue((symbol,), tuple(facts))
         if not last or newest > last[0]:
             if last:
                 self.handle.deleteTimer(last[0] + self.gap)
@@ -128,19 +143,6 @@ class SymbolState(StatefulProcessor):
             self.last.update((newest,))
         return iter(())
 
-    @staticmethod
-    def row(w) -> tuple:
-        return tuple(list(v) if hasattr(v, "__len__") and not isinstance(v, str) else None if pd.isna(v) else v for v in (w.kind, w.symbol, w.snippet_id, w.order_idx if pd.isna(w.order_idx) else int(w.order_idx), w.obligation_id, w.need))
-
-    def merge(self, symbol: str, own: pd.DataFrame) -> None:
-        held = self.facts.getValue((symbol,)) if self.facts.containsKey((symbol,)) else (None,) * 9
-        out: list = []
-        for i, (value, rows) in enumerate((("domain", own), ("domain", own[own["domain"] != "unknown"]), ("definition", own[own["definition"].notna()]))):
-            old = tuple(held[3 * i : 3 * i + 3])
-            both = [t for t in (old if old[0] is not None else None, self.earliest(rows, value)) if t]
-            out += min(both) if both else (None, None, None)
-        self.facts.updateValue((symbol,), tuple(out))
-
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         released = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms", tz="UTC")
         facts = {s[0]: tuple(f) for s, f in self.facts.iterator()}
@@ -154,10 +156,10 @@ class SymbolState(StatefulProcessor):
         for state in (self.facts, self.pending, self.last):
             state.clear()
         names = [f.split()[0] for f in f"{PENDING}, {FACTS}".split(", ")]
-        out = pd.DataFrame(rows, columns=names).astype(object)
+        out = pd.DataFrame(rows, columns=names, dtype=object)
         for c in ("order_idx", "domain_from", "defined_from", "first_seen"):
-            out[c] = out[c].astype("Int64")
-        out["began_unknown"] = out["began_unknown"].astype("boolean")
+            out[c] = pd.array(out[c], dtype="Int64")
+        out["began_unknown"] = pd.array(out["began_unknown"], dtype="boolean")
         out.insert(0, "paper_id", key[0])
         out["released"] = released
         yield out

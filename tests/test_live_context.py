@@ -124,3 +124,19 @@ def test_session_with_default_store(spark, tables, tmp_path):
     write(stream(plain, tmp_path / "in", 1, per_trigger=10), tmp_path / "rows", tmp_path / "c", availableNow=True)
     got = spark.read.parquet(str(tmp_path / "rows"))
     assert rows(live.released_uses(got)) == rows(context.context_before(used.drop("ts"), context.merge_declarations(declared)))
+
+
+def test_facts_do_not_hang_on_the_order_of_statements():
+    rng = random.Random(6)
+    told = [(rng.randrange(5), f"s{rng.randrange(3)}", rng.choice(DOMAINS), f"d{rng.randrange(4)}") for _ in range(30)]
+    told += [(0, "s0", "unknown", None), (0, "s0", "real", "d0")]
+    known = [(o, s, d) for o, s, d, _ in told if d != "unknown"]
+    defined = [(o, s, f) for o, s, _, f in told if f is not None]
+    want = [*min((o, s, d) for o, s, d, _ in told), *min(known), *min(defined)]
+    for _ in range(20):
+        rng.shuffle(told)
+        held = [None] * 9
+        for statement in told:
+            live.merge(held, *statement)
+        assert held == want
+    assert [live.missing(x) for x in (None, float("nan"), "", [], 0, "x")] == [True, True, False, False, False, False]
